@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL}
