@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .mixing import op7_mixing
+from .packing import op4_token_packing
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_token_packing": op4_token_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL}
