@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .mixing import op7_mixing
 from .packing import op4_token_packing
 from .quality_classifier import op2_quality_classifier
@@ -12,7 +13,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_token_packing": op4_token_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL}

@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +53,16 @@ def default_vocabulary() -> str:
     return os.path.join(folder, VOCABULARY)
 
 
-@lru_cache(maxsize=2)
 def encoding(path: str):
+    """Kept on the library's module, which outlives the tasks of a Python worker; this one travels by value."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    held = tiktoken.__dict__.setdefault("_encodings_by_path", {})
+    if path not in held:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        held[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return held[path]
 
 
 class CapacityTree:
