@@ -127,8 +127,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield block
 
 
-def match(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, n_words, spans (array of [start, end) word ranges that a window occupies),
+def match(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: int | None = None, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """keep columns, text if with_text, n_words, spans (array of [start, end) word ranges that a window occupies),
     items (test items with an exact window), near_items (items with a window whose words all
     stand within ``reach`` words of its rarest word; empty when reach is None).
 
@@ -149,7 +149,7 @@ def match(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach:
     while block is not None:
         following = next(blocks, None)
         sent = documents.sparkSession.sparkContext.broadcast(block)
-        last = following is None
+        last = following is None and not with_text
 
         def run(batches, sent=sent, last=last):
             tests = TestWindows(sent.value, size)
@@ -169,7 +169,7 @@ def match(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach:
 
         found = found.mapInArrow(run, out)
         block = following
-    return found.drop("text")
+    return found if with_text else found.drop("text")
 
 
 def _answer(rows: pa.Table, tokens: list[list[bytes]], tests: TestWindows, reach: int | None, last: bool) -> pa.RecordBatch:

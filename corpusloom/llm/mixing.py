@@ -137,8 +137,10 @@ def select(documents: DataFrame, mix: Mix = Mix(), domain: Column | None = None,
     return whole.select(*kept).unionByName(last.select(*kept)).select("row.*", F.col("leaf").alias("mix_leaf"), F.col("epoch").alias("mix_epoch"))
 
 
+#: Domains 4:3:2:1, English twice the other languages, all sources alike; 80 % of the corpus in at most 2 epochs.
+WEB_MIX = Mix({("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0} | {(f"d{i}", "en"): 2.0 for i in range(4)})
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains 4:3:2:1, English twice the other languages, all sources alike; 80 % of the corpus in at most 2 epochs."""
-    weights = {("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0} | {(f"d{i}", "en"): 2.0 for i in range(4)}
-    chosen = select(table(spark, sf_dir, "documents"), Mix(weights))
+    chosen = select(table(spark, sf_dir, "documents"), WEB_MIX)
     return chosen.select("doc_id", "mix_leaf.*", F.col("mix_epoch").alias("epoch"), text_tokens().alias("tokens"))
