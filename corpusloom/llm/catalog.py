@@ -8,13 +8,17 @@ from .mixing import op7_mixing
 from .packing import op4_token_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
+from .url_filter import op8_url_filter
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_token_packing": op4_token_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL}
