@@ -8,12 +8,14 @@ from .mixing import op7_mixing
 from .packing import op4_token_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
+from .secret_scan import op3_secret_scan
 from .url_filter import op8_url_filter
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_packing": op4_token_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
