@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,11 +36,20 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends in replicated files."""
+def materialise(df: DataFrame, what: str, release: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends in replicated files.
+
+    release: shuffle files of plans that nothing refers to any more go now, not when the driver
+    next happens to collect its garbage; for tables whose shuffle is a large part of the input.
+    """
     spark = df.sparkSession
     df.write.parquet(path := fresh_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def split_words(text: Column) -> Column:

@@ -11,8 +11,11 @@ first ``size - ceil(3/4 size) + 1`` shingles of both rows in any one order of al
 (the size-derived bound on prefixes). The order is by frequency in a fixed-size table of
 hashed counts over the whole corpus, rarest first, so passages that many documents share come last.
 
-* Columns that few classes have in their prefix: the pairs of the column are listed, made
-  distinct, dropped by the size bound, and their overlaps counted on the whole rows.
+* Columns that few classes have in their prefix: each column adds one to the overlap count of its
+  pairs; a pair is dropped when its count and all that could still follow the prefixes stay below the
+  bound, and the overlaps of the others are counted on the whole rows. (Whichever prefix ends first in the
+  order, nothing of it can meet the other row beyond that row's prefix, so what can follow is the rest of one row.
+  Pairs that also share a column with many classes are counted too low here, but are met by the block products.)
 * Columns that many classes have: classes joined by such columns form clusters. A cluster's rows
   are cut into blocks; a block product accumulates overlap counts column block by column block
   in one task's memory and emits only a spanning forest of what reaches the bound, never pairs.
@@ -271,22 +274,24 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
         .where((F.col("salt") >= 0) | ~F.col("one"))
         .select("h", "k", "n", F.when(F.col("salt") >= 0, F.lit(LIST_MAX + 1)).otherwise(F.least("f", F.lit(LIST_MAX + 1))).alias("f"))
     )
-    live = materialise(live, "postings")
+    live = materialise(live, "postings", release=True)
     hot = live.where(F.col("f") > LIST_MAX)
     first = hot.groupBy("h").agg(F.min("k").alias("m"), F.max("k").alias("l")).where(F.col("m") != F.col("l"))
     hot = hot.join(first, "h").select("k", "m").distinct()
     listed = live.where(F.col("f") <= LIST_MAX).distinct()
     a, b = listed.select("h", F.col("k").alias("u"), F.col("n").alias("nu")), listed.select("h", F.col("k").alias("v"), F.col("n").alias("nv"))
-    pairs = a.join(b, "h").where((F.col("u") < F.col("v")) & (4 * F.least("nu", "nv") >= 3 * F.greatest("nu", "nv"))).select("u", "v").distinct()
+    pairs = a.join(b, "h").where((F.col("u") < F.col("v")) & (4 * F.least("nu", "nv") >= 3 * F.greatest("nu", "nv")))
+    rest = F.greatest(F.expr("(3 * nu + 3) div 4 - 1"), F.expr("(3 * nv + 3) div 4 - 1"))
+    pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("o")).where(7 * (F.col("o") + rest) >= 3 * (F.col("nu") + F.col("nv"))).select("u", "v")
     pairs, hot = materialise(pairs, "pairs"), materialise(hot, "hot")
 
     needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).union(hot.select("k")).distinct()
     classes = meta.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("first"))
     ids = needed.join(classes, "k").select(F.col("first").alias("doc_id"))
-    sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k bigint, n bigint, s binary"), "sets")
+    sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k bigint, n bigint, s binary"), "sets", release=True)
     by = lambda name, s: sets.select(F.col("k").alias(name), F.col("s").alias(s))
     links = pairs.join(by("u", "a"), "u").join(by("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked, "u bigint, v bigint")
-    links = materialise(links.distinct(), "links")
+    links = materialise(links.distinct(), "links", release=True)
     if not hot.isEmpty():
         links = _hot_links(hot, sets, links)
     found = components(links)
@@ -302,12 +307,12 @@ def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """links and the forests of the block products of every cluster of the hot columns."""
     clusters = components(hot.select(F.col("k").alias("u"), F.col("m").alias("v"))).select(F.col("id").alias("k"), F.col("comp").alias("c"))
     sizes = clusters.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    rows = materialise(clusters.join(sizes, "c").join(sets.select("k", "s"), "k"), "clusters")
+    rows = materialise(clusters.join(sizes, "c").join(sets.select("k", "s"), "k"), "clusters", release=True)
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     dealt = rows.withColumn("deal", F.explode(F.when(F.col("size") > BLOCK_ROWS, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k", "deal"), blocks)).select("c", "deal", "block", "k", "s")
     inner = dealt.groupBy("c", "deal", "block").applyInPandas(lambda pdf: _diagonal(pdf), "u bigint, v bigint")
-    links = materialise(links.union(inner), "links")
+    links = materialise(links.union(inner), "links", release=True)
     comps = components(links)
     wide = rows.where(F.col("size") > BLOCK_ROWS).join(comps, F.col("k") == F.col("id"), "left").select("c", "size", "k", "s", F.coalesce("comp", "k").alias("comp"))
     wide = materialise(wide, "clusters")
