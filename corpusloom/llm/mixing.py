@@ -115,8 +115,8 @@ def select(documents: DataFrame, mix: Mix = Mix(), domain: Column | None = None,
     def bucket() -> Column:
         return F.shiftrightunsigned("place", 52)
 
-    # A local relation of at most MAX_LEAVES rows: Spark knows its size and broadcasts it where that is small.
-    due = rows.join(planned, "leaf").withColumn("place", place(F.col("whole"))).withColumn("bucket", bucket())
+    # Both plans have one row per leaf, MAX_LEAVES at most, so they are sent to the rows, which then need no shuffle.
+    due = rows.join(F.broadcast(planned), "leaf").withColumn("place", place(F.col("whole"))).withColumn("bucket", bucket())
     sums = due.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("tokens"), F.max("rest").alias("rest"))
     running = F.sum("tokens").over(Window.partitionBy("leaf").orderBy(F.col("bucket").cast("int")))  # at most BUCKETS rows a leaf
     ends = (
@@ -127,7 +127,7 @@ def select(documents: DataFrame, mix: Mix = Mix(), domain: Column | None = None,
     )
     cuts = spark.createDataFrame(ends.collect(), "leaf struct<domain:string,lang:string,source:string>, cut bigint, before bigint")
     # A leaf with a rest and no cut does not occur: its rest is less than its tokens.
-    marked = due.join(cuts, "leaf", "left")
+    marked = due.join(F.broadcast(cuts), "leaf", "left")
     epochs = F.sequence(F.lit(0).cast("bigint"), F.col("whole"))
     whole = marked.withColumn("epoch", F.explode(epochs)).where((F.col("epoch") < F.col("whole")) | (F.col("bucket") < F.col("cut")))
     last = marked.where(F.col("bucket") == F.col("cut"))
