@@ -34,7 +34,9 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 1 << 30
-SPLIT_BYTES = 32 << 20
+SPLIT_BYTES = 8 << 20
+#: Tasks of one read; beyond it a task takes several ranges.
+MAX_TASKS = 1 << 17
 CHUNK = 1 << 20
 #: Decoded bytes within which a member must show a whole WARC header to count as a record.
 HEADER_BYTES = 1 << 16
@@ -201,8 +203,9 @@ def records_in_range(path: str, size: int, start: int, end: int, with_payload: b
 
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of archives given as path, bytes; one task or more per file, none per record."""
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     cuts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
-    ranges = files.select("path", "bytes", F.explode(cuts).alias("start")).repartition("path", "start")
+    ranges = files.select("path", "bytes", F.explode(cuts).alias("start")).repartition(min(int(n), MAX_TASKS), "path", "start")
 
     def run(batches):
         columns = [x.split()[0] for x in RECORDS.split(", ")]
