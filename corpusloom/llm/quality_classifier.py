@@ -91,7 +91,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
             if projected:
                 step = max(alpha[i] - gradient / norms[i], 0.0) - alpha[i]
                 alpha[i] += step
-                w[rows[i]] += step * y[i] * values[i]
+                w[rows[i]] += (step * y[i]) * values[i]
                 w[-1] += step * y[i]
         if worst < tolerance:
             break
@@ -100,7 +100,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 
 def _fit_margin(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     ratio = log_count_ratio(rows, y, size)
-    values = [(v := ratio[ids]) / max(float(np.sqrt(np.square(v).sum())), 1e-12) for ids in rows]
+    values = [((v := ratio[ids]) / max(float(np.sqrt(np.square(v).sum())), 1e-12)).astype(np.float32) for ids in rows]
     w = dual_coordinate_descent(rows, values, y, size)
     return ratio, np.append(w[:-1] * ratio, w[-1])
 
@@ -149,11 +149,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: i
 
     def encode(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "ids": [features(t, bits) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "ids": [features(t, bits).tobytes() for t in batch["text"]]})
 
     joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` narrow rows
-    got = joined.mapInPandas(encode, "doc_id bigint, quality int, ids array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
-    return fit([np.asarray(x, np.int32) for x in got["ids"]], np.where(got["quality"] == 1, 1.0, -1.0), bits)
+    got = joined.mapInPandas(encode, "doc_id bigint, quality int, ids binary").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    return fit([np.frombuffer(r["ids"], np.int32) for r in got], np.array([1.0 if r["quality"] == 1 else -1.0 for r in got]), bits)
 
 
 def score(documents: DataFrame, model: NbSvm, bits: int = BITS) -> DataFrame:
