@@ -9,6 +9,7 @@ from .packing import op4_token_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secret_scan import op3_secret_scan
+from .suffix_dedup import OP9_SQL, op9_suffix_dedup
 from .url_filter import op8_url_filter
 from .warc import OP1_SQL, op1_warc
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_suffix_dedup": OP9_SQL}
