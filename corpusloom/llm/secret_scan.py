@@ -155,7 +155,7 @@ def _tree_sql(lines: list[str]) -> str:
     """A tree as nested CASE; consumes the lines of its debug string."""
     line = lines.pop(0).strip()
     if leaf := re.match(r"Predict: (\S+)", line):
-        return leaf[1]
+        return f"{float(leaf[1])!r}D"
     number, limit = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
     yes = _tree_sql(lines)
     lines.pop(0)  # Else
