@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import HTML_TABLE
+
 
 class _Cells(HTMLParser):
     def __init__(self):
@@ -68,7 +70,7 @@ def parse(html: str | None) -> tuple[list[str], list[list[str]]]:
     return pad(head), [pad(r) for r in rows]
 
 
-@F.pandas_udf("struct<header:array<string>,rows:array<array<string>>>")
+@F.pandas_udf(HTML_TABLE)
 def parse_table_html(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h) for h in html], columns=["header", "rows"])
 

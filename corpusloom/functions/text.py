@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import STRING
+
 CYRILLIC = "а-яёА-ЯЁ"
 #: Vowels by script (fixed values).
 CYRILLIC_VOWELS = "аеёиоуыэюя"
@@ -29,12 +31,12 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def nfkc_casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 

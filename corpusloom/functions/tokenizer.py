@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..schemas import STRINGS
 from .chem import SYMBOLS, species_of
 
 _SYMBOL = "(?:" + "|".join(sorted(SYMBOLS, key=lambda s: (-len(s), s))) + ")(?:[0-9]+|[₀-₉]+)?"
@@ -59,6 +60,6 @@ def terms(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(STRINGS)
 def tokenize(texts: pd.Series) -> pd.Series:
     return texts.map(terms)

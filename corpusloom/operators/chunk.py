@@ -15,7 +15,7 @@ from ..config import CHUNK, FURNITURE_TYPES, ChunkConfig
 from ..functions import tables
 from ..functions.latex import flatten_formula
 from ..functions.units import extract_units
-from ..schemas import CHUNKS
+from ..schemas import CHUNKS, names
 
 _LEAD_IN = re.compile(r"табл|table", re.I)
 _LEGEND = re.compile(r"^\s*(?:где|здесь|where|here)\b", re.I)
@@ -88,7 +88,8 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
     path: list[str] = []
     held: list[tuple[str, dict]] = []
     kinds: list[str] = []
-    size = 0
+    size = 0  # characters held, line ends included
+    room_chars = 3 * cfg.max_tokens + 2
 
     def emit(parts: list[tuple[str, dict]], atom_kinds: list[str], parent: str = "", part: int = 0, of: int = 0) -> None:
         text = "\n".join(t for t, _ in parts)
@@ -112,7 +113,7 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
             joined = " ".join(last)
             if last and count(joined) <= cfg.overlap_share * cfg.max_tokens and joined != held[-1][0]:
                 tail = [(joined, held[-1][1])]
-        held, kinds, size = tail, (["prose"] if tail else []), sum(count(t) for t, _ in tail)
+        held, kinds, size = tail, (["prose"] if tail else []), sum(len(t) + 1 for t, _ in tail)
 
     for atom in atoms(rows):
         if atom["kind"] == "heading":
@@ -120,7 +121,7 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
             row = atom["rows"][0]
             level = int(row["text_level"]) if row.get("text_level") and not pd.isna(row["text_level"]) else 1
             path = [*path[: level - 1], row["text"].strip()]
-            held, kinds, size = [(row["text"].strip(), row)], ["heading"], count(row["text"])
+            held, kinds, size = [(row["text"].strip(), row)], ["heading"], len(row["text"].strip()) + 1
         elif atom["kind"] == "table":
             flush()
             lead, row = atom["rows"][:-1], atom["rows"][-1]
@@ -141,7 +142,7 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
                 out[-1]["text"] = out[-1]["text"].rstrip("\n")
         elif atom["kind"] == "formula":
             parts = [(r["text"].strip(), r) for r in atom["rows"]]
-            if size + sum(count(t) for t, _ in parts) > cfg.max_tokens:
+            if size + sum(len(t) + 1 for t, _ in parts) > room_chars:
                 flush()
             held, kinds = [*held, *parts], [*kinds, "formula"]
             flush()
@@ -149,17 +150,17 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
             row = atom["rows"][0]
             pieces = [row["text"].strip()] if count(row["text"]) <= cfg.max_tokens else sentences(row["text"], cfg.max_tokens)
             for p in pieces:
-                if held and size + count(p) > cfg.max_tokens:
+                if held and size + len(p) > room_chars:
                     flush(overlap=atom["kind"] == "prose")
-                    if size + count(p) > cfg.max_tokens:
+                    if size + len(p) > room_chars:
                         held, kinds, size = [], [], 0
-                held, kinds, size = [*held, (p, row)], [*kinds, atom["kind"]], size + count(p)
+                held, kinds, size = [*held, (p, row)], [*kinds, atom["kind"]], size + len(p) + 1
     flush()
     return out
 
 
 def chunks(blocks: DataFrame, cfg: ChunkConfig = CHUNK) -> DataFrame:
-    names = CHUNKS.fieldNames()
+    fields = names(CHUNKS)
     wanted = ["block_id", "doc_id", "order", "page", "type", "text", "table_html"]
     level = F.col("text_level") if "text_level" in blocks.columns else F.lit(None).cast("int")
 
@@ -168,7 +169,7 @@ def chunks(blocks: DataFrame, cfg: ChunkConfig = CHUNK) -> DataFrame:
         for r in rows:
             r["text"] = r["text"] or ""
             r["text_level"] = None if pd.isna(r["text_level"]) else r["text_level"]
-        return pd.DataFrame(chunk_document(rows, cfg), columns=names)
+        return pd.DataFrame(chunk_document(rows, cfg), columns=fields)
 
     return blocks.select(*wanted, level.alias("text_level")).groupBy("doc_id").applyInPandas(fold, CHUNKS)
 

@@ -42,7 +42,9 @@ def train(rows: DataFrame) -> DataFrame:
 
 def score(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
     """key, lm_score: the mean log probability of a text's trigrams. The model has at most scripts * 63 ** 3 rows."""
-    seen = rows.select(key, X.script("text").alias("script"), F.explode(trigrams(F.col("text"))).alias("g"))
+    # The script is taken before the texts are exploded, or it would be worked out once per trigram.
+    known = rows.select(key, "text", X.script("text").alias("script"))
+    seen = known.select(key, "script", F.explode(trigrams(F.col("text"))).alias("g"))
     unseen = F.log(F.lit(SMOOTHING) / (SMOOTHING * ALPHABET))
     return seen.join(model.select("script", "g", "logp"), ["script", "g"], "left").groupBy(key, "script").agg(F.avg(F.coalesce("logp", unseen)).alias("lm_score"))
 
