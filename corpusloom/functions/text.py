@@ -217,3 +217,29 @@ def token_count(c: Column | str) -> Column:
 def lexical_terms(c: Column | str) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+#: Letters of the Symbol font by their Latin keys (fixed values).
+SYMBOL_KEYS = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβχδεφγηιϕκλμνοπθρστυϖωξψζΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ")
+
+
+def decode_symbol_font(c: Column | str) -> Column:
+    """Private-use characters of a Symbol font as the Greek letters they show."""
+    private = "".join(chr(0xF000 + ord(k)) for k in SYMBOL_KEYS[0])
+    return F.translate(text_or_empty(c), private, SYMBOL_KEYS[1])
+
+
+def one_script(c: Column | str, lookalikes: tuple[str, str]) -> Column:
+    """Words of up to 20 characters that mix both scripts become Latin, if every Cyrillic letter in them has a Latin twin."""
+    mixed = lambda w: (F.char_length(w) <= 20) & w.rlike("[A-Za-z]") & w.rlike("[а-яёА-ЯЁ]") & ~F.translate(w, lookalikes[0], "").rlike("[а-яёА-ЯЁ]")
+    return F.array_join(F.transform(F.split(text_or_empty(c), " "), lambda w: F.when(mixed(w), F.translate(w, *lookalikes)).otherwise(w)), " ")
+
+
+def sentences(c: Column | str) -> Column:
+    """Sentences, cut after end marks and at line ends."""
+    return F.filter(F.transform(F.split(text_or_empty(c), r"(?<=[.!?;])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def layer_text(c: Column | str) -> Column:
+    """Text of a PDF's text layer: ligatures and wide forms folded, hard blanks as blanks."""
+    return F.translate(nfkc(text_or_empty(c)), "\u00a0", " ")

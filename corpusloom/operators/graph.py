@@ -6,10 +6,14 @@ Edges are walked in either direction; a path uses an edge once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
+from ..functions import text as X
+from .retrieval import dot, normalised
 
 
 def alias_seeds(question_terms: DataFrame, aliases: DataFrame, terms: DataFrame, limit: int = RETRIEVAL.seeds) -> DataFrame:
@@ -110,3 +114,66 @@ def missing_embeddings(terms: DataFrame, embedded: DataFrame, limit: int) -> Dat
 
 def term_text(label: Column, aliases: Column, formulas: Column) -> Column:
     return F.concat_ws("; ", label, F.array_join(F.slice(aliases, 1, 6), ", "), F.array_join(F.slice(formulas, 1, 3), ", "))
+
+
+def text_seeds(question_terms: DataFrame, terms: DataFrame, limit: int = RETRIEVAL.seeds) -> DataFrame:
+    """Seeds by words of their label, for what the aliases miss: the summed rarity of shared words. terms: term_id, label, kind, count."""
+    words = terms.where(~F.col("kind").isin("word", "table")).select("term_id", "count", F.explode(X.lexical_terms("label")).alias("term")).distinct()
+    total = max(1, terms.count())
+    rare = words.groupBy("term").agg(F.log(1 + F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
+    hits = question_terms.select("query_id", F.lower("term").alias("term")).distinct().join(words, "term").join(rare, "term").groupBy("query_id", "term_id", "count").agg(F.sum("idf").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("count"), "term_id")
+    return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * limit).drop("n")
+
+
+def merged_seeds(*kinds: DataFrame, limit: int = RETRIEVAL.seeds) -> DataFrame:
+    """Seeds of several kinds, the first kind that names a term deciding its score; the best by score and count."""
+    every = None
+    for i, k in enumerate(kinds):
+        k = k.select("query_id", "term_id", "count", "score", F.lit(i).alias("kind_order"))
+        every = k if every is None else every.unionByName(k)
+    first = every.groupBy("query_id", "term_id").agg(F.min_by(F.struct("score", "count"), "kind_order").alias("s")).select("query_id", "term_id", "s.score", "s.count")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("count"), "term_id")
+    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+
+
+def facts_by_similarity(found: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Facts with the cosine of their statement's vector to the query's, best first within a query."""
+    near = found.join(vectors.select("statement_id", F.col("vector").alias("sv")), "statement_id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
+    near = near.withColumn("similarity", dot(normalised(F.col("sv")), normalised(F.col("qv")))).drop("sv", "qv")
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "statement_id")))
+
+
+def graph_hits(found: DataFrame) -> DataFrame:
+    """Facts as retrieval candidates of the graph channel, one per statement."""
+    w = Window.partitionBy("query_id").orderBy("place")
+    one = found.groupBy("query_id", "statement_id").agg(F.min("place").alias("place"))
+    return one.select("query_id", F.lit("graph").alias("channel"), F.concat(F.lit("kg:"), F.col("statement_id").cast("string")).alias("unit_id"), F.row_number().over(w).alias("rank"))
+
+
+def frame_text(frame: str | None, depth: int = 4) -> str:
+    """A nested slot as text: its own words, then its parts in brackets, to a bounded depth."""
+
+    def render(node, left: int) -> str:
+        if isinstance(node, list):
+            return "; ".join(filter(None, (render(x, left) for x in node)))
+        if not isinstance(node, dict) or left == 0:
+            return "" if isinstance(node, dict) else str(node or "")
+        mask = node.get("mask") or {}
+        own = node.get("text") or mask.get("label") or mask.get("norm") or ""
+        inner = render(node.get("frame") or [], left - 1)
+        return f"{own} ({inner})" if inner else own
+
+    try:
+        return render(json.loads(frame or "null"), depth)
+    except ValueError:
+        return ""
+
+
+def sources(items: DataFrame, rows: DataFrame, references: DataFrame) -> DataFrame:
+    """Numbered sources with neighbouring rows of their document and what they refer to (two per item at most)."""
+    numbered = numbered_sources(items)
+    near = sequence_neighbours(rows).groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("near")).alias("neighbours"))
+    w = Window.partitionBy("sentence_id").orderBy("target_id")
+    refs = references.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("sentence_id").agg(F.array_sort(F.collect_list("target_id")).alias("refers_to"))
+    return numbered.join(near, ["doc_id", "seq"], "left").join(refs, "sentence_id", "left")

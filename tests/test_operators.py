@@ -211,3 +211,41 @@ def test_catalog_oracles_have_queries():
     from corpusloom.plans import catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 50
+
+
+def test_script_repair_and_symbols(spark):
+    from corpusloom.functions import chem
+    from corpusloom.functions import text as X
+
+    df = spark.createDataFrame([("Нa2O и Feжук", "\uf061\uf044 x")], "t string, s string")
+    got = df.select(X.one_script("t", chem.LOOKALIKES).alias("a"), X.decode_symbol_font("s").alias("b"), X.sentences(F.lit("One. Two?\nThree")).alias("c"), X.layer_text(F.lit("ﬁ x")).alias("d")).first()
+    assert tuple(got) == ("Ha2O и Feжук", "αΔ x", ["One.", "Two?", "Three"], "fi x")
+
+
+def test_formula_heuristics(spark):
+    from corpusloom.functions import latex
+
+    df = spark.createDataFrame([("E = mc^2 + 1",), ("A plain sentence of words",), ("One ..... 3\nTwo ..... 7",)], "t string")
+    got = df.select(latex.looks_like_formula(F.col("t")), latex.looks_like_contents(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, True)]
+
+
+def test_query_normalisation_payload_and_ablation(spark):
+    df = spark.createDataFrame([("what is Н₂О like", 1, None)], "q string, year int, lang string")
+    r = retrieval.payload(df.withColumn("q", retrieval.normalize_query("q")), ["year", "lang"]).first()
+    assert r.q == "what is H2O like" and r.payload == {"year": "1"}
+    assert len(retrieval.method_combinations()) == 7
+    records = retrieval.ablation([(1, "q")], lambda q, m: {"n": 1 // (len(m) - 1)})
+    assert len(records) == 7 and sum(x["error"] is not None for x in records) == 3
+
+
+def test_seeds_frames_and_hits(spark):
+    terms = spark.createDataFrame([(1, "iron ore", "term", 5), (2, "ore", "word", 9), (3, "copper ore", "term", 2)], "term_id int, label string, kind string, count int")
+    q = spark.createDataFrame([(7, "ore"), (7, "iron")], "query_id int, term string")
+    by_text = graph.text_seeds(q, terms)
+    assert [r.term_id for r in by_text.orderBy(F.desc("score")).collect()] == [1, 3]
+    exact = spark.createDataFrame([(7, 3, 2, 2.0)], "query_id int, term_id int, count int, score double")
+    assert {(r.term_id, r.score) for r in graph.merged_seeds(exact, by_text).collect()} >= {(3, 2.0)}
+    assert graph.frame_text(json.dumps({"text": "a", "frame": [{"mask": {"label": "b"}, "frame": [{"text": "c"}]}]})) == "a (b (c))" and graph.frame_text("{") == ""
+    found = spark.createDataFrame([(7, "s", 2), (7, "t", 1), (7, "s", 3)], "query_id int, statement_id string, place int")
+    assert [(r.unit_id, r["rank"]) for r in graph.graph_hits(found).orderBy("rank").collect()] == [("kg:t", 1), ("kg:s", 2)]
