@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ _RANGES = 8
 
 
 def _describe(batches):
-    """(doc_id, n, k) per document and, at the end, the task's hashed shingle counts in _RANGES pieces."""
+    """(doc_id, n, k) per document and, at the end, the task's hashed shingle counts in _RANGES pieces under the task's number."""
     counts = np.zeros(1 << TABLE_BITS, np.uint32)
     held, waiting, rows = [], 0, ([], [], [])
 
@@ -129,7 +130,7 @@ def _describe(batches):
     yield out()
     small = np.minimum(counts, 65535).astype("<u2").reshape(_RANGES, -1)
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(_RANGES, pa.int64())] * 3 + [pa.array(range(_RANGES), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
+        [pa.array([TaskContext.get().partitionId()] * _RANGES, pa.int64())] + [pa.nulls(_RANGES, pa.int64())] * 2 + [pa.array(range(_RANGES), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
         names=["doc_id", "n", "k", "range", "counts"],
     )
 
@@ -138,7 +139,7 @@ def _add_counts(batches):
     """Sums of the count pieces of a partition; holds one piece per range."""
     total: dict[int, np.ndarray] = {}
     for r, piece in _texts(batches, "range", "counts"):
-        x = np.frombuffer(piece, "<u2")
+        x = np.frombuffer(piece, f"<u{len(piece) * _RANGES >> TABLE_BITS}")
         total[r] = total.get(r, np.zeros(len(x), np.uint64)) + x
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["range", "counts"])
@@ -241,7 +242,11 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     described = materialise(documents.mapInArrow(_describe, _META), "shingles")
     meta = described.where(F.col("range").isNull()).select("doc_id", "n", "k")
-    pieces = described.where(F.col("range").isNotNull()).select("range", "counts").repartition(_RANGES, "range").mapInArrow(_add_counts, "range int, counts binary")
+    tables = described.where(F.col("range").isNotNull()).select("range", "counts", F.col("doc_id").alias("task"))
+    groups = max(1, round((tables.count() / _RANGES) ** 0.5))
+    # Added up in two steps of equal width, so no task reads more than the square root of the number of tables.
+    pieces = tables.repartition(_RANGES * groups, "range", F.col("task") % groups).select("range", "counts").mapInArrow(_add_counts, "range int, counts binary")
+    pieces = pieces.repartition(_RANGES, "range").mapInArrow(_add_counts, "range int, counts binary")
     counts = np.zeros((_RANGES, (1 << TABLE_BITS) // _RANGES), np.uint32)
     for r in pieces.collect():  # a table of fixed size
         counts[r["range"]] = np.frombuffer(r["counts"], "<u4")
