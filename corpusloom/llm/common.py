@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,11 +48,21 @@ def materialise(df: DataFrame, what: str, release: bool = False) -> DataFrame:
     schema = df.schema
     if release:
         del df
-        gc.collect()
-        spark._jvm.System.gc()
+        for _ in range(2):  # plans are let go once the event queue has passed them on
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.4)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialise() wrote and whose successor is written."""
+    files = df.inputFiles()
+    if files and shared_dir(df.sparkSession).split(":", 1)[-1].lstrip("/") in files[0]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def split_words(text: Column) -> Column:
     """The runs of characters other than ASCII white space; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

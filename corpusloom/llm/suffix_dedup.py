@@ -17,7 +17,7 @@ Sorting. Within a bucket the suffixes of the pieces are sorted by the difference
 Texts are UTF-8 bytes; null is empty. Earlier means a smaller doc_id, or the same document and an earlier start; matches
 never cross documents and are judged on the input. Rows with a null doc_id keep all bytes. Rows equal in doc_id and
 text are one document; rows with one doc_id and different texts are different documents (in an order of their own).
-An empty table gives no rows; other columns are ignored. Texts are told apart by a 64-bit hash of id and text.
+An empty table gives no rows; other columns are ignored. Texts of one id are told apart by 22 bits of a hash.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 LENGTH = 100
-SEED = 40
+SEED = 24
 #: Windows in one piece at most; longer runs (of periodic text) are cut, each window in one piece.
 PIECE_WINDOWS = 256
 #: Pieces of one bucket on average.
@@ -96,7 +96,13 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-_RUNS = "h bigint, key bigint, start int, n int, loop boolean"
+#: A run's place in one number: the text's variant (22 bits), first window (31), windows (9) and loop (1).
+_RUNS = "h bigint, doc_id bigint, at bigint"
+VARIANTS = 1 << 22
+
+
+def _packed(variant: int, starts: np.ndarray, sizes: np.ndarray, loop: np.ndarray) -> np.ndarray:
+    return (((variant << 31) + starts) << 10) + (sizes << 1) + loop
 
 
 def _find_runs(batches):
@@ -104,15 +110,13 @@ def _find_runs(batches):
     size = 0
 
     def out():
-        cols = [np.concatenate(x) for x in zip(*held)]
-        types = (np.int64, np.int64, np.int32, np.int32, bool)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, types)], names=["h", "key", "start", "n", "loop"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["h", "doc_id", "at"])
 
     for batch in batches:
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+        for doc_id, variant, text in zip(batch.column("doc_id").to_pylist(), batch.column("variant").to_pylist(), batch.column("text")):
             h, starts, sizes, loop = runs(_bytes(text.as_py()))
             if len(h):
-                held.append((h.view(np.int64), np.full(len(h), key, np.int64), starts, sizes, loop))
+                held.append((h.view(np.int64), np.full(len(h), doc_id, np.int64), _packed(variant, starts, sizes, loop)))
                 size += len(h)
             if size > 100_000:
                 yield out()
@@ -121,7 +125,7 @@ def _find_runs(batches):
         yield out()
 
 
-_PIECES = "h bigint, doc_id bigint, key bigint, start int, piece binary"
+_PIECES = "h bigint, doc_id bigint, variant int, start int, piece binary"
 
 
 def _cut_pieces(batches):
@@ -129,19 +133,21 @@ def _cut_pieces(batches):
 
     def out():
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "doc_id", "key", "start", "piece"]
+            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "doc_id", "variant", "start", "piece"]
         )
         for c in cols:
             c.clear()
         return batch
 
     for batch in batches:
-        for doc_id, key, text, live in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "live"))):
+        for doc_id, variant, text, hashes, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "text", "hashes", "places"))):
             raw = _bytes(text)
-            for r in live:
-                s, n = r["start"], r["n"]
-                for c, v in zip(cols, (r["h"], doc_id, key, s, raw[s : s + n + LENGTH - 1])):
-                    c.append(v)
+            starts = [at >> 10 & 0x7FFFFFFF for at in places]
+            cols[0].extend(hashes)
+            cols[1].extend([doc_id] * len(places))
+            cols[2].extend([variant] * len(places))
+            cols[3].extend(starts)
+            cols[4].extend([raw[s : s + (at >> 1 & 511) + LENGTH - 1] for s, at in zip(starts, places)])
             if len(cols[0]) > 20_000:
                 yield out()
     yield out()
@@ -161,19 +167,34 @@ def _named(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_names(raw: np.ndarray) -> np.ndarray:
-    """Names of the 98 bytes from every sampled position: position p is entry p // 3 * 2 + p % 3 - 1.
+def _marked(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    edges = np.zeros(size + 1, np.int32)
+    np.add.at(edges, np.minimum(begins, size), 1)
+    np.add.at(edges, np.minimum(ends, size), -1)
+    return np.cumsum(edges[:-1]) > 0
+
 
-    raw ends in LENGTH + 30 bytes of padding, from where no window starts.
+def sample_names(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of the 98 bytes from the sampled positions in [begins, ends): position p is entry p // 3 * 2 + p % 3 - 1.
+
+    raw ends in LENGTH + 30 bytes of padding, from where no window starts. Longer names are made only where
+    a window or a longer name asks for them.
     """
     top = (len(raw) - 8) // 3 * 3
     at = np.arange(top)
     at = at[at % 3 > 0]
-    shift = lambda x, by: np.concatenate([x[by // 3 * 2 :], np.zeros(by // 3 * 2, x.dtype)])
+
+
+    def triples(names: np.ndarray, reach: int, *shifts: int) -> np.ndarray:
+        wanted = np.flatnonzero(_marked(top, begins, ends + reach)[at])
+        out = np.zeros(len(names), np.int64)
+        out[wanted] = _named(*(names[np.minimum(wanted + s // 3 * 2, len(names) - 1)] for s in (0, *shifts)))
+        return out
+
     names = _named(_words(raw, len(raw) - 7, 0)[at].byteswap())
-    names = _named(names, shift(names, 6), shift(names, 12))  # 20 bytes
-    names = _named(names, shift(names, 18), shift(names, 36))  # 56 bytes
-    return _named(names, shift(names, 42))  # 98 bytes
+    names = triples(names, 78, 6, 12)  # 20 bytes
+    names = triples(names, 42, 18, 36)  # 56 bytes
+    return triples(names, 0, 42)  # 98 bytes
 
 
 def repeated_windows(pieces: list[bytes]) -> np.ndarray:
@@ -186,7 +207,7 @@ def repeated_windows(pieces: list[bytes]) -> np.ndarray:
     starts = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     if not len(starts):
         return np.zeros(0, bool)
-    names, residue, wide = sample_names(raw), starts % 3, raw.astype(np.int64)
+    names, residue, wide = sample_names(raw, begins, begins + counts + 2), starts % 3, raw.astype(np.int64)
     out = np.zeros(len(starts), bool)
     for shift in (0, 1, 2):
         own = np.flatnonzero((residue + shift) % 3 > 0)
@@ -202,11 +223,11 @@ def repeated_windows(pieces: list[bytes]) -> np.ndarray:
     return out
 
 
-_SPANS = "key bigint, s int, e int"
+_SPANS = "doc_id bigint, variant int, s int, e int"
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["doc_id", "key", "start"]).sort_values(["doc_id", "key", "start"])
+    pdf = pdf.drop_duplicates(["doc_id", "variant", "start"]).sort_values(["doc_id", "variant", "start"])
     pieces = pdf["piece"].tolist()
     marked = repeated_windows(pieces)
     counts = np.array([len(p) for p in pieces], np.int64) - (LENGTH - 1)
@@ -214,29 +235,35 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.flatnonzero(marked)
     if not len(at):
-        return pd.DataFrame({"key": [], "s": [], "e": []})
+        return pd.DataFrame({"doc_id": [], "variant": [], "s": [], "e": []})
     first = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
     last = np.concatenate([first[1:], [True]])
     base = pdf["start"].to_numpy()[owner[at[first]]]
-    return pd.DataFrame({"key": pdf["key"].to_numpy()[owner[at[first]]], "s": base + within[at[first]], "e": base + within[at[last]] + LENGTH})
+    of = lambda c: pdf[c].to_numpy()[owner[at[first]]]
+    return pd.DataFrame({"doc_id": of("doc_id"), "variant": of("variant"), "s": base + within[at[first]], "e": base + within[at[last]] + LENGTH})
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """key, spans: per document with repeats, the [s, e) byte ranges covered by strings that stand earlier too. documents: key, doc_id, text."""
+    """doc_id, variant, spans: per document with repeats, the [s, e) byte ranges covered by strings that stand earlier too. documents: doc_id, variant, text."""
     texts = documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    found = texts.select("key", "text").mapInArrow(_find_runs, _RUNS)
+    found = texts.select("doc_id", "variant", "text").mapInArrow(_find_runs, _RUNS)
     copies = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    live = found.withColumn("copies", copies).where((F.col("copies") > 1) | F.col("loop")).drop("copies", "loop")
+    live = found.withColumn("copies", copies).where((F.col("copies") > 1) | (F.col("at") % 2 == 1)).drop("copies")
     live = materialise(live, "runs", release=True)
-    per_text = live.groupBy("key").agg(F.collect_list(F.struct("h", "start", "n")).alias("live"))
-    pieces = texts.select("doc_id", "key", "text").join(per_text, "key").mapInArrow(_cut_pieces, _PIECES)
+    per_text = live.groupBy("doc_id", F.shiftright("at", 41).cast("int").alias("variant")).agg(F.collect_list("h").alias("hashes"), F.collect_list("at").alias("places"))
+    # Written once: the shuffle of the texts can go before the pieces are dealt out in turn.
+    pieces = materialise(texts.select("doc_id", "variant", "text").join(per_text, ["doc_id", "variant"]).mapInArrow(_cut_pieces, _PIECES), "pieces", release=True)
     # Equal pieces meet by their hash and their text; the first in place goes on.
-    same = Window.partitionBy("h", "piece").orderBy("doc_id", "key", "start")
-    ranked = materialise(_ranked(pieces, same), "pieces", release=True)
+    same = Window.partitionBy("h", "piece").orderBy("doc_id", "variant", "start")
+    discard(live)
+    ranked = materialise(_ranked(pieces, same), "first-pieces", release=True)
+    discard(pieces)
     buckets = max(1, -(-ranked.where("nth = 1").count() // BUCKET_PIECES))
-    sorted_ = ranked.where("nth = 1").select("doc_id", "key", "start", "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
-    whole = ranked.where("nth > 1").select("key", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    return materialise(sorted_.union(whole), "spans", release=True).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    sorted_ = ranked.where("nth = 1").select("doc_id", "variant", "start", "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
+    whole = ranked.where("nth > 1").select("doc_id", "variant", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
+    covered = materialise(sorted_.union(whole), "spans", release=True)
+    discard(ranked)
+    return covered.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def _ranked(pieces: DataFrame, same) -> DataFrame:
@@ -263,7 +290,7 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int,
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
-    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    rows = documents.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(VARIANTS)).cast("int").alias("variant"))
     spans = repeated_spans(rows)
 
     def run(batches):
@@ -277,7 +304,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["doc_id", "variant"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
