@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHUNK, FURNITURE_TYPES, ChunkConfig
-from ..functions import tables
 from ..functions.latex import flatten_formula
+from ..functions.tables import parse as parse_table
+from ..functions.tables import parse_table_html, row_sentence
 from ..functions.units import extract_units
 from ..schemas import CHUNKS, names
 
@@ -125,7 +126,7 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
         elif atom["kind"] == "table":
             flush()
             lead, row = atom["rows"][:-1], atom["rows"][-1]
-            header, body = tables.parse(row.get("table_html"))
+            header, body = parse_table(row.get("table_html"))
             line = lambda cells: "| " + " | ".join(cells) + " |"
             top = [r["text"] for r in lead] + ([row["text"]] if (row["text"] or "").strip() else []) + ([line(header)] if header else [])
             full = "\n".join([*top, *map(line, body)])
@@ -191,11 +192,11 @@ def search_units(chunked: DataFrame, blocks: DataFrame) -> DataFrame:
         F.when(F.coalesce("category", F.lit("")) == "chemistry", "chemistry").otherwise("math").alias("vector_kind"), "doc_id", "section",
         flatten_formula("text").alias("text"), "parent_text", F.col("text").alias("formula"), F.when(number != "", number).alias("eq_number"),
     )
-    table = owned.where((F.col("type") == "Table") & F.col("table_html").isNotNull()).withColumn("t", tables.parse_table_html("table_html")).withColumn("header", F.col("t.header"))
+    table = owned.where((F.col("type") == "Table") & F.col("table_html").isNotNull()).withColumn("t", parse_table_html("table_html")).withColumn("header", F.col("t.header"))
     rows = table.select("block_id", "parent_chunk_id", "doc_id", "section", "parent_text", F.col("text").alias("caption"), "header", F.posexplode("t.rows").alias("i", "cells"))
     row = rows.select(
         F.concat("block_id", F.lit("#table#r"), "i").alias("unit_id"), "parent_chunk_id", F.lit("table_row").alias("unit_type"), F.lit("table").alias("vector_kind"), "doc_id", "section",
-        F.concat_ws(" | ", F.when(F.col("caption") != "", F.col("caption")), tables.row_sentence(F.col("header"), F.col("cells"))).alias("text"), "parent_text", F.col("i").alias("row_index"),
+        F.concat_ws(" | ", F.when(F.col("caption") != "", F.col("caption")), row_sentence(F.col("header"), F.col("cells"))).alias("text"), "parent_text", F.col("i").alias("row_index"),
     )
     cells = rows.select("*", F.posexplode("cells").alias("j", "v")).where((F.col("v") != "") & (F.col("j") > 0))
     name = F.coalesce(F.get("header", F.col("j")), F.concat(F.lit("column "), F.col("j") + 1))
