@@ -438,6 +438,16 @@ def graph_paths_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(1)).alias("middle"), F.get("nodes", F.lit(2)).alias("last"), "weight")
 
 
+@query("""WITH r AS (SELECT 'c' || o_custkey AS src, o_orderpriority AS dst, count(*) AS n FROM orders GROUP BY ALL)
+  SELECT x.dst AS first, x.src AS middle, y.dst AS last, x.n + y.n AS weight FROM r x JOIN r y ON x.src = y.src AND x.dst < y.dst""")
+def graph_paths_2hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As graph_paths_2hop, which walks relations of three counts and more, but over every relation."""
+    rel = _relations(spark, sf_dir)
+    seeds = rel.select(F.col("dst").alias("term_id")).distinct()
+    found = graph.paths(seeds, rel, 2)
+    return found.select(F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(1)).alias("middle"), F.get("nodes", F.lit(2)).alias("last"), "weight")
+
+
 @query("SELECT a.conv_id, a.turn, CAST(b.turn - a.turn AS INTEGER) AS \"offset\", b.turn AS near FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn - a.turn IN (-1, 1, 2)")
 def seq_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sequence_neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "offset", "near")

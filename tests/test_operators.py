@@ -136,6 +136,15 @@ def test_paths_do_not_reuse_edges(spark):
     assert got == {(("a", "b"), 1, 1), (("a", "m", "b"), 2, 5)}
 
 
+def test_every_relation_is_walked_whatever_its_count(spark, tmp_path):
+    from corpusloom.plans import catalog
+
+    orders = [(1, "1-URGENT"), (1, "2-HIGH"), (1, "2-HIGH"), (2, "1-URGENT"), (2, "3-MEDIUM"), (3, "2-HIGH")]
+    spark.createDataFrame(orders, "o_custkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["graph_paths_2hop_all"](spark, str(tmp_path)).collect()}
+    assert got == {("1-URGENT", "c1", "2-HIGH", 3), ("1-URGENT", "c2", "3-MEDIUM", 2)}
+
+
 def test_single_linkage_history():
     m = [[0, 0.9, 0.2], [0.9, 0, 0.6], [0.2, 0.6, 0]]
     assert recommend.merge_history(m, 0.7) == {"groups": [[0, 1], [2]], "merges": [([0, 1], 0.9)], "next_similarity": 0.6}
