@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import CAPTION_TYPES, CLEAN, FURNITURE_TYPES, MERGEABLE_TYPES, CleanConfig
 from ..functions import text as X
+from .storage import written
 
 
 def drop(df: DataFrame, when: Column, reason: str) -> DataFrame:
@@ -157,8 +158,8 @@ def merge_fragments(df: DataFrame, cfg: CleanConfig = CLEAN) -> DataFrame:
 
 
 def clean(blocks: DataFrame, cfg: CleanConfig = CLEAN, unicode: bool = True, merge: bool = True) -> DataFrame:
-    """The whole pipeline."""
-    df = drop_noise(with_noise(prepare(blocks, unicode), cfg), cfg)
+    """The whole pipeline. The scored blocks are written once: every later stage would work out the scores anew."""
+    df = written(drop_noise(with_noise(prepare(blocks, unicode), cfg), cfg))
     df = drop_boilerplate(drop_captions(drop_furniture(df), cfg), cfg)
     if merge:
         merged = merge_fragments(df, cfg).select("block_id", *[F.col(c).alias(f"m_{c}") for c in ("text_out", "type", "keep", "drop_reason", "merged_into", "merged_ids", "page_min", "page_max")])

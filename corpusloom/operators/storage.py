@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the session's checkpoint folder (spark.checkpoint.dir); a temporary one is set only where there is none."""
+def _folder(df: DataFrame) -> str:
+    """The session's checkpoint folder (spark.checkpoint.dir); a temporary one is set only where there is none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    _folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as compressed Parquet in the same folder, for tables that hold texts."""
+    df.write.parquet(path := f"{_folder(df)}/{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -138,6 +138,49 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.boilerplate_lines(clean.prepare(rows, unicode=False), cfg).select("doc_id", "key", "pages", "doc_pages", "blocks")
 
 
+# The same reports over the whole cleaning job: Unicode folding, noise, merging and document copies are in none of the SQL above.
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks after all stages, document copies included."""
+    return dedup.without_copies(clean.clean(lines(spark, sf_dir)))
+
+
+@query()
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.totals(corpus(spark, sf_dir))
+
+
+@query()
+def corpus_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.by_reason(corpus(spark, sf_dir))
+
+
+@query()
+def corpus_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.by_type(corpus(spark, sf_dir))
+
+
+@query()
+def corpus_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.by_source(corpus(spark, sf_dir))
+
+
+@query()
+def corpus_worst_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.worst_documents(corpus(spark, sf_dir))
+
+
+@query()
+def corpus_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.artifact_count(corpus(spark, sf_dir), "[0-9]{4,}")
+
+
+@query()
+def corpus_block_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).where("drop_reason = 'duplicate'").select("block_id", "merged_into")
+
+
 # Text signals.
 
 

@@ -83,6 +83,30 @@ def test_long_chain_component(spark):
     assert {r.comp for r in dedup.connected(edges, "a", "b").collect()} == {0}
 
 
+def test_entry_runs_the_whole_cleaning_job(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    words = " ".join(f"Word{chr(97 + i % 26)}{chr(97 + i // 26)} goes on" for i in range(90))
+    pages = [f"Sentence {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 2} of the long page says what it has to say." for i in range(39)]
+    docs = [
+        (1, f"{words}\nA closing line that only the first of the copies has not."),
+        (2, f"{words}\nA closing line that only the first of the copies has not."),
+        (3, f"{words.upper()}\nA closing line that only the first of the copies has not."),
+        (4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"),
+        (5, "\n".join(pages) + "\nthe last line of the page is open and runs over to\nthe next one, where it comes to its end at last."),
+        (6, "\ufb01ve of the f\u00edne ores were weighed, washed and dried.\nfive of the f\u00edne ores were weighed, washed and dried."),
+    ]
+    rows = [(i, t, "en", "s", len(t)) for i, t in docs]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(entry, "SMOKE_DIR", str(tmp_path))
+    got = {r.drop_reason: r.blocks for r in entry.entry(spark).collect()}
+    assert got["garbage"] == 1 and got["merged"] == 1 and got["duplicate_document"] == 4
+    dropped = entry.queries()["corpus_block_duplicates"](spark, str(tmp_path)).where("block_id LIKE '6#%'").collect()
+    assert [tuple(r) for r in dropped] == [("6#1", "6#0")]
+    totals = entry.queries()["corpus_totals"](spark, str(tmp_path)).first()
+    assert totals.blocks == sum(got.values()) and totals.kept == got[""] and totals.documents == 6
+
+
 def test_quantiles_use_the_lower_index(spark):
     df = spark.createDataFrame([("k", float(v)) for v in range(10)], "k string, v double")
     r = audit.lower_quantiles(df, "k", "v", {"p25": 0.25, "median": 0.5}).first()
