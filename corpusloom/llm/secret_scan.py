@@ -1,8 +1,9 @@
 """Secret scans with false-positive removal by a random forest (DataFrame functions only).
 
-Candidates are words that hold a run of 16 or more key-like characters with a digit, or an assignment to
-a name such as ``password`` or ``token``. Each gets measurements of the
-candidate itself (length, character classes, transitions between them, distinct characters, the share that dictionary
+Candidates are all of these in a word: assignments of 6 or more characters to a name such as ``password`` or ``token``,
+runs of 16 or more key-like characters where the word has a digit, and keys with a known prefix, digit or not. A word that
+is assigned to such a name across spaces (``password = "..."``) is one too. What a word holds twice counts once. Each
+gets measurements of the candidate itself (length, character classes, transitions between them, distinct characters, the share that dictionary
 words cover), of the path of its document and of the words around it. A random
 forest trained from labelled findings gives the probability that it is a secret; the forest is turned
 into SQL CASE expressions, so scanning runs in the engine throughout.
@@ -32,6 +33,17 @@ TREES, DEPTH, SEED = 24, 6, 11
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth)"
 RUN = r"[A-Za-z0-9+/_-]{16,}"
 ASSIGNED = rf"(?i){NAMES}[\"']?[=:][\"']?[^\s\"']{{6,}}"
+#: As ASSIGNED, but a value ends where the next assignment begins.
+ASSIGNMENTS = rf"(?i){NAMES}[\"']?[=:][\"']?(?:(?![,;&|?][A-Za-z0-9_.-]*?{NAMES}[\"']?[=:])[^\s\"']){{6,}}"
+#: Keys that their prefix gives away, wherever they stand in a run.
+KNOWN = (
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{11,}|AIza[A-Za-z0-9_-]{35}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,})"
+)
+#: The last of up to three words, assigned across spaces.
+APART = rf"(?i)({NAMES})[\"']?(?:\s+(?:=>|:=|[=:])\s*|(?:=>|:=|[=:])\s+)([\"']?[^\s\"'=:][^\s\"']{{5,}}\S*)$"
+#: Characters of a word before one of its candidates that count as words around it.
+WORD_CONTEXT = 24
 
 #: Words whose presence makes a candidate readable (fixed list).
 DICTIONARY = (
@@ -81,20 +93,38 @@ def with_features(findings: DataFrame) -> DataFrame:
 
 
 def candidates(documents: DataFrame, path: str | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per candidate word: keep, place (word number from 0), candidate, before, after, path."""
+    """One row per candidate: keep, place (word number from 0), part (number in the word, from 0), candidate, before, after, path."""
     words = documents.select(*keep, (F.col(path).cast("string") if path else F.lit("")).alias("_path"), split_words(F.col("text")).alias("w"))
-    is_candidate = lambda x: (F.char_length(x) >= 12) & ((x.rlike(RUN) & x.rlike("[0-9]")) | x.rlike(ASSIGNED))
-    places = F.filter(F.transform("w", lambda x, i: F.when(is_candidate(x), i)), lambda i: i.isNotNull())
+    inside = lambda x: (F.char_length(x) >= 10) & ((x.rlike("[0-9]") & x.rlike(RUN)) | x.rlike(ASSIGNED) | x.rlike(KNOWN))
+    before = lambda i, n: F.when(i >= n, F.get("w", i - n)).otherwise("")
+    signed = lambda x, i: before(i, 1).rlike("[=:>]$") | x.rlike("^[=:]")
+    three = lambda x, i: F.concat_ws(" ", before(i, 2), before(i, 1), x)
+    is_candidate = lambda x, i: inside(x) | ((F.char_length(x) >= 6) & signed(x, i) & three(x, i).rlike(APART))
+    places = F.filter(F.transform("w", lambda x, i: F.when(is_candidate(x, i), i)), lambda i: i.isNotNull())
     near = lambda start, n: F.array_join(F.slice("w", start, n), " ")
     at = F.col("place")
-    return words.withColumn("place", F.explode(places)).select(
+    found = words.withColumn("place", F.explode(places)).select(
         *keep,
         "place",
-        F.get("w", at).alias("candidate"),
+        F.get("w", at).alias("_word"),
+        three(F.get("w", at), at).alias("_three"),
         near(F.greatest(at - 2, F.lit(1)), at + 1 - F.greatest(at - 2, F.lit(1))).alias("before"),
         near(at + 2, F.lit(2)).alias("after"),
         F.col("_path").alias("path"),
     )
+    word, every = F.col("_word"), lambda pattern: F.regexp_extract_all("_word", F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<string>")
+    apart = F.concat_ws("=", F.regexp_extract("_three", APART, 1), F.regexp_extract("_three", APART, 2))
+    parts = F.concat(
+        every(ASSIGNMENTS), F.when(word.rlike("[0-9]"), every(f"{RUN}=*")).otherwise(none), every(KNOWN), F.when(F.col("_three").rlike(APART), F.array(apart)).otherwise(none)
+    )
+    # Of parts with one core the first stays.
+    found = found.withColumn("_parts", F.transform(parts, lambda p: F.struct(p.alias("p"), core(p).alias("c")))).withColumn("_cores", F.col("_parts.c"))
+    found = found.withColumn("_parts", F.filter("_parts", lambda p, i: (p.c != "") & (F.array_position("_cores", p.c) == i + 1)))
+    held = F.expr(f"right(left(_word, greatest(instr(_word, _part.p) - 1, 0)), {WORD_CONTEXT})")
+    return found.select("*", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("part", "_part")).select(
+        *keep, "place", "part", F.col("_part.p").alias("candidate"), F.when(F.col("_n") > 1, F.concat_ws(" ", "before", held)).otherwise(F.col("before")).alias("before"), "after", "path"
+    )
 
 
 def labelled_findings(spark: SparkSession, per_kind: int = 60) -> DataFrame:
@@ -170,11 +200,11 @@ def forest_sql(model: RandomForestClassificationModel) -> str:
 
 
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path: str | None = None, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, place, length, secret_sha256, probability, is_secret: one row per candidate."""
+    """keep, place, part, length, secret_sha256, probability, is_secret: one row per candidate."""
     model = train(labelled if labelled is not None else labelled_findings(documents.sparkSession))
     found = with_features(candidates(documents, path, keep)).withColumn("probability", F.expr(forest_sql(model)).cast("double"))
     return found.select(
-        *keep, "place", F.col("length").cast("int").alias("length"), F.sha2("core", 256).alias("secret_sha256"), "probability", (F.col("probability") >= threshold).alias("is_secret")
+        *keep, "place", "part", F.col("length").cast("int").alias("length"), F.sha2("core", 256).alias("secret_sha256"), "probability", (F.col("probability") >= threshold).alias("is_secret")
     )
 
 

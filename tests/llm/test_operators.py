@@ -141,6 +141,31 @@ def test_secret_scan_edges(spark):
     assert got[0].secret_sha256 == hashlib.sha256(key.encode()).hexdigest()
 
 
+def test_secret_scan_finds_every_secret_of_a_word(spark):
+    a, b, letters = "AKIA" + "QZ7XM2KP9RT4WV8B", "AKIA" + "WV8BQZ7XM2KP9RT4", "AKIA" + "QZXMKPRTWVBHJLND"
+    one, two = hashlib.sha1(b"1").hexdigest(), hashlib.sha1(b"2").hexdigest()
+    cases = [
+        (f'{{"api_key":"{one}","token":"{two}"}}', [one, two]),
+        (f"api_key={one},token={two}", [one, two]),
+        (f"keys {a},{b} end", [a, b]),
+        (f"see https://service-provider-name.com/x?k={a} now", [a]),
+        (f"the key {letters} of aws", [letters]),
+        (f"in /home/keys/{letters}/x here", [letters]),
+        ('set password = "S3cret!pass" now', ["S3cret!pass"]),
+        ("set password: S3cret!pass now", ["S3cret!pass"]),
+        ("pwd=Xy7k2Q", ["Xy7k2Q"]),
+        (f'set token = "{one}" and', [one]),
+    ]
+    docs = frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])
+    got = defaultdict(list)
+    for r in secret_scan.scan(docs).orderBy("doc_id", "place", "part").collect():
+        got[r.doc_id].append((r.secret_sha256, r.is_secret))
+    for i, (text, secrets) in enumerate(cases):
+        for s in secrets:
+            assert got[i].count((hashlib.sha256(s.encode()).hexdigest(), True)) == 1, (text, s, got[i])
+    assert not secret_scan.scan(frame(spark, [(1, "a plain word = something, and a token of respect: hers")])).where("is_secret").count()
+
+
 # 4
 
 
