@@ -3,7 +3,9 @@
 Distribution. Every window of ``LENGTH`` bytes is routed by the least hash of the ``SEED``-byte strings in it,
 so equal windows always meet, wherever they stand. Neighbouring windows with the same least hash travel as one
 piece of text. Pieces whose hash occurs once in the corpus cannot repeat and stay where they are; of equal
-pieces the first goes on, the others repeat it as a whole.
+pieces the first goes on, the others repeat it as a whole. A hash that more than ``BUCKET_PIECES`` different pieces share
+(those around a short line that very many texts hold) has no bucket: its windows are dealt out one by one by a digest of all
+their bytes, and the first in place of equal ones is found by a sort that spills.
 
 Sorting. Within a bucket the suffixes of the pieces are sorted by the difference cover {1, 2} modulo 3:
 
@@ -17,7 +19,7 @@ Sorting. Within a bucket the suffixes of the pieces are sorted by the difference
 Texts are UTF-8 bytes; null is empty. Earlier means a smaller doc_id, or the same document and an earlier start; matches
 never cross documents and are judged on the input. Rows with a null doc_id keep all bytes. Rows equal in doc_id and
 text are one document; rows with one doc_id and different texts are different documents (in an order of their own).
-An empty table gives no rows; other columns are ignored. Texts of one id are told apart by 22 bits of a hash.
+An empty table gives no rows; other columns are ignored. Windows dealt out one by one are told apart by 128 bits of BLAKE2. Texts of one id are told apart by 22 bits of a hash.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ LENGTH = 100
 SEED = 24
 #: Windows in one piece at most; longer runs (of periodic text) are cut, each window in one piece.
 PIECE_WINDOWS = 256
-#: Pieces of one bucket on average.
+#: Pieces of one bucket on average, and of one hash within a bucket at most.
 BUCKET_PIECES = 12_000
 
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
@@ -243,6 +245,31 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": of("doc_id"), "variant": of("variant"), "s": base + within[at[first]], "e": base + within[at[last]] + LENGTH})
 
 
+_WINDOWS = "digest binary, doc_id bigint, variant int, s int"
+
+
+def _each_window(batches):
+    digest = hashlib.blake2b
+    cols: tuple[list, ...] = ([], [], [], [])
+
+    def out():
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["digest", "doc_id", "variant", "s"])
+        for c in cols:
+            c.clear()
+        return batch
+
+    for batch in batches:
+        for doc_id, variant, start, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "start", "piece"))):
+            n = len(piece) - LENGTH + 1
+            cols[0].extend(digest(piece[i : i + LENGTH], digest_size=16).digest() for i in range(n))
+            cols[1].extend([doc_id] * n)
+            cols[2].extend([variant] * n)
+            cols[3].extend(range(start, start + n))
+            if len(cols[0]) > 50_000:
+                yield out()
+    yield out()
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, variant, spans: per document with repeats, the [s, e) byte ranges covered by strings that stand earlier too. documents: doc_id, variant, text."""
     texts = documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
@@ -258,10 +285,19 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     discard(live)
     ranked = materialise(_ranked(pieces, same), "first-pieces", release=True)
     discard(pieces)
-    buckets = max(1, -(-ranked.where("nth = 1").count() // BUCKET_PIECES))
-    sorted_ = ranked.where("nth = 1").select("doc_id", "variant", "start", "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
+    firsts = ranked.where("nth = 1")
+    large = materialise(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_PIECES).select("h"), "large")
+    alone = None
+    if not large.isEmpty():
+        windows = firsts.join(large, "h", "left_semi").select("doc_id", "variant", "start", "piece").mapInArrow(_each_window, _WINDOWS)
+        place = Window.partitionBy("digest").orderBy("doc_id", "variant", "s")
+        later = windows.withColumn("nth", F.rank().over(place)).where("nth > 1")
+        alone = later.select("doc_id", "variant", "s", (F.col("s") + LENGTH).alias("e"))
+        firsts = firsts.join(large, "h", "left_anti")
+    buckets = max(1, -(-firsts.count() // BUCKET_PIECES))
+    sorted_ = firsts.select("doc_id", "variant", "start", "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
     whole = ranked.where("nth > 1").select("doc_id", "variant", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    covered = materialise(sorted_.union(whole), "spans", release=True)
+    covered = materialise(sorted_.union(whole) if alone is None else sorted_.union(whole).union(alone), "spans", release=True)
     discard(ranked)
     return covered.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 

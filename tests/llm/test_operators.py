@@ -407,6 +407,26 @@ def test_suffix_dedup_matches_brute_force(spark):
     assert all(r.n_removed == 0 for r in got if r.doc_id is None)
 
 
+def test_suffix_dedup_bounds_the_pieces_around_a_common_line(spark, monkeypatch):
+    rng = random.Random(19)
+    line = "This footer stands in every one of the texts, word by word."
+    some = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(12)]
+    docs = []
+    for i in range(600):
+        a, b = "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(90))), "".join(rng.choice("ijklmnop ") for _ in range(200))
+        docs.append((i, (rng.choice(some) if i % 3 == 0 else a) + line + (rng.choice(some) if i % 2 == 0 else b)))
+    bucket = suffix_dedup._bucket
+
+    def bounded(pdf):
+        assert len(pdf) <= 40, f"a bucket of {len(pdf)} pieces"
+        return bucket(pdf)
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET_PIECES", 8)
+    monkeypatch.setattr(suffix_dedup, "_bucket", bounded)
+    got = suffix_dedup.deduplicate(frame(spark, [*docs, docs[0]])).distinct().collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(docs)
+
+
 def test_names_follow_the_strings():
     rng = np.random.default_rng(1)
     text = bytes(rng.integers(97, 99, 2000).astype(np.uint8))
