@@ -6,8 +6,8 @@ task that ran twice counts once. The first record (smallest page_id) of each pay
 response, later ones are revisits that carry the response's HTTP header but no payload.
 
 Reader: files are cut into byte ranges, each a task's work. A task looks for the gzip
-magic within its range, decodes the start of every candidate member and takes it for a record
-only if that is a WARC header; it owns the records that start inside its range, the last of
+magic within its range, decodes the start of every candidate member up to its blank line and takes it
+for a record only if that is a WARC header of whatever length; it owns the records that start inside its range, the last of
 which it reads to the end beyond it. A range may start anywhere, within a member too. One record is in memory at a time.
 
 Null html is an empty payload; a null url leaves out the target; a null page_id is an id-less
@@ -38,7 +38,7 @@ SPLIT_BYTES = 8 << 20
 #: Tasks of one read; beyond it a task takes several ranges.
 MAX_TASKS = 1 << 17
 CHUNK = 1 << 20
-#: Decoded bytes within which a member must show a whole WARC header to count as a record.
+#: Decoded bytes of a candidate looked at in one step; a WARC header may take any number of steps.
 HEADER_BYTES = 1 << 16
 
 RECORDS = "file string, offset bigint, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, sound boolean, payload binary"
@@ -134,8 +134,22 @@ def _looks_like_record(window: _Window, offset: int) -> bool:
     z = zlib.decompressobj(31)
     try:
         head = z.decompress(window.at(offset, HEADER_BYTES), HEADER_BYTES)
+        if not head.startswith(b"WARC/1."):
+            return False
+        parts, tail, at = [head], head, offset + HEADER_BYTES
+        while b"\r\n\r\n" not in tail and not z.eof:
+            rest = z.unconsumed_tail
+            if not rest:
+                rest = window.at(at, min(HEADER_BYTES, max(0, window.size - at)))
+                at += len(rest)
+            more = z.decompress(rest, HEADER_BYTES)
+            if not more and not rest:
+                break
+            parts.append(more)
+            tail = tail[-3:] + more
     except zlib.error:
         return False
+    head = b"".join(parts)
     return head.startswith(b"WARC/1.") and b"\r\n\r\n" in head and b"\r\nContent-Length:" in head[: head.index(b"\r\n\r\n") + 2]
 
 

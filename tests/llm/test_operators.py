@@ -59,6 +59,17 @@ def test_warc_skips_false_magic(tmp_path):
     assert [r["page_id"] for r in got] == [1]
 
 
+def test_warc_reads_headers_of_any_length(spark):
+    rng = random.Random(3)
+    long = "http://h.org/" + "".join(chr(rng.randrange(0x400, 0x4FF)) for _ in range(40_000))
+    rows = [(1, "u", "<p>a</p>"), (2, long, "<p>b</p>"), (3, "http://h.org/" + "x" * 3_000_000, "<p>c</p>"), (4, "v", "<p>b</p>")]
+    files = warc.write(frame(spark, rows, "page_id bigint, url string, html string"), fresh_path(spark, "warc-test"))
+    for split in (5000, 1 << 22):
+        got = sorted((r.page_id, r.record_type, r.refers_to, r.sound, len(r.url)) for r in warc.read(files, split).collect())
+        assert [r[:4] for r in got] == [(1, "response", None, True), (2, "response", None, True), (3, "response", None, True), (4, "revisit", 2, True)]
+        assert got[1][4] > 1 << 16 and got[2][4] == 3_000_013
+
+
 def test_warc_empty_table(spark):
     files = warc.write(frame(spark, [], "page_id bigint, url string, html string"), fresh_path(spark, "warc-test"))
     assert warc.read(files).count() == 0
