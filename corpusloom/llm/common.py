@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,38 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, a laptop) a temporary folder is made once
-    and set as the checkpoint folder.
+    Where a local session names none (tests, a laptop) a temporary folder is made once and set as the
+    checkpoint folder; on a cluster a folder of one machine would be no shared one, so there it is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if (held := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str, release: bool = False) -> DataFrame:
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends in replicated files.
 
-    release: shuffle files of plans that nothing refers to any more go now, not when the driver
-    next happens to collect its garbage; for tables whose shuffle is a large part of the input.
+    The shuffle files of the write go with it, by Spark's own setting, as nothing refers to them any more.
     """
     spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, what))
-    schema = df.schema
-    if release:
-        del df
-        for _ in range(2):  # plans are let go once the event queue has passed them on
-            gc.collect()
-            spark._jvm.System.gc()
-            time.sleep(0.4)
-    return spark.read.schema(schema).parquet(path)
+    path, before = fresh_path(spark, what), spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # planned anew, under the setting
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -63,6 +62,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_on_common(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with table (one row per key) on key, where a key may hold any share of the rows.
+
+    weight: the column of table that counts the key's rows; total: the count of all rows. Keys with more than one
+    ``share``-th of all rows are fewer than ``share``, so they are broadcast; of the others none is hot.
+    """
+    often = F.col(weight) * share > total
+    hot, rest = table.where(often).drop(weight), table.where(~often).drop(weight)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def split_words(text: Column) -> Column:
     """The runs of characters other than ASCII white space; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -276,14 +276,14 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     found = texts.select("doc_id", "variant", "text").mapInArrow(_find_runs, _RUNS)
     copies = F.count(F.lit(1)).over(Window.partitionBy("h"))
     live = found.withColumn("copies", copies).where((F.col("copies") > 1) | (F.col("at") % 2 == 1)).drop("copies")
-    live = materialise(live, "runs", release=True)
+    live = materialise(live, "runs")
     per_text = live.groupBy("doc_id", F.shiftright("at", 41).cast("int").alias("variant")).agg(F.collect_list("h").alias("hashes"), F.collect_list("at").alias("places"))
     # Written once: the shuffle of the texts can go before the pieces are dealt out in turn.
-    pieces = materialise(texts.select("doc_id", "variant", "text").join(per_text, ["doc_id", "variant"]).mapInArrow(_cut_pieces, _PIECES), "pieces", release=True)
+    pieces = materialise(texts.select("doc_id", "variant", "text").join(per_text, ["doc_id", "variant"]).mapInArrow(_cut_pieces, _PIECES), "pieces")
     # Equal pieces meet by their hash and their text; the first in place goes on.
     same = Window.partitionBy("h", "piece").orderBy("doc_id", "variant", "start")
     discard(live)
-    ranked = materialise(_ranked(pieces, same), "first-pieces", release=True)
+    ranked = materialise(_ranked(pieces, same), "first-pieces")
     discard(pieces)
     firsts = ranked.where("nth = 1")
     large = materialise(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_PIECES).select("h"), "large")
@@ -297,7 +297,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     buckets = max(1, -(-firsts.count() // BUCKET_PIECES))
     sorted_ = firsts.select("doc_id", "variant", "start", "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
     whole = ranked.where("nth > 1").select("doc_id", "variant", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    covered = materialise(sorted_.union(whole) if alone is None else sorted_.union(whole).union(alone), "spans", release=True)
+    covered = materialise(sorted_.union(whole) if alone is None else sorted_.union(whole).union(alone), "spans")
     discard(ranked)
     return covered.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 

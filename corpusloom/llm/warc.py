@@ -9,6 +9,9 @@ Reader: files are cut into byte ranges, each a task's work. A task looks for the
 magic within its range, decodes the start of every candidate member up to its blank line and takes it
 for a record only if that is a WARC header of whatever length; it owns the records that start inside its range, the last of
 which it reads to the end beyond it. A range may start anywhere, within a member too. One record is in memory at a time.
+A record whose header can be read and whose content cannot (damaged, cut short) comes back with ``sound`` false and null sizes.
+The magic of a member cannot stand inside a payload that this writer stores as it is: payloads are UTF-8, where no byte 8B follows
+1F. An archive from elsewhere may hold such bytes; only a range that starts inside that very record would report them.
 
 Null html is an empty payload; a null url leaves out the target; a null page_id is an id-less
 response and never the target of a revisit. Rows repeated with the same page_id and payload are each a record;
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, table
+from .common import fresh_path, join_on_common, materialise, table
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
@@ -76,8 +79,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to. Only ids and digests meet by digest; the html moves once, by page_id."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     narrow = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= least_bytes)
-    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where(F.col("first") < F.col("last"))
-    later = narrow.join(firsts, "digest").where(F.col("page_id") > F.col("first")).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = materialise(firsts.where(F.col("first") < F.col("last")).select("digest", "first", "n"), "warc-firsts")
+    meant = join_on_common(narrow.select("page_id", "digest"), firsts, "digest", "n", pages.count())
+    later = meant.where(F.col("page_id") > F.col("first")).select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"))
     return rows.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
@@ -130,27 +135,26 @@ class _Window:
         return -1
 
 
-def _looks_like_record(window: _Window, offset: int) -> bool:
-    z = zlib.decompressobj(31)
+def _header(window: _Window, offset: int) -> bytes | None:
+    """The WARC header of the member at offset, up to its blank line, decoded step by step; None if there is none."""
+    z, head, at = zlib.decompressobj(31), bytearray(), offset
     try:
-        head = z.decompress(window.at(offset, HEADER_BYTES), HEADER_BYTES)
-        if not head.startswith(b"WARC/1."):
-            return False
-        parts, tail, at = [head], head, offset + HEADER_BYTES
-        while b"\r\n\r\n" not in tail and not z.eof:
-            rest = z.unconsumed_tail
-            if not rest:
-                rest = window.at(at, min(HEADER_BYTES, max(0, window.size - at)))
-                at += len(rest)
-            more = z.decompress(rest, HEADER_BYTES)
-            if not more and not rest:
+        while not z.eof:
+            data = z.unconsumed_tail or window.at(at, min(HEADER_BYTES, max(0, window.size - at)))
+            at += 0 if z.unconsumed_tail else len(data)
+            more = z.decompress(data, HEADER_BYTES)
+            if not data and not more:
                 break
-            parts.append(more)
-            tail = tail[-3:] + more
+            searched = max(0, len(head) - 3)
+            head += more
+            if head[:7] != b"WARC/1."[: len(head)]:
+                return None
+            if (end := head.find(b"\r\n\r\n", searched)) >= 0:
+                lines = bytes(head[: end + 2])
+                return lines if re.search(rb"\r\ncontent-length[ \t]*:", lines, re.IGNORECASE) else None
     except zlib.error:
-        return False
-    head = b"".join(parts)
-    return head.startswith(b"WARC/1.") and b"\r\n\r\n" in head and b"\r\nContent-Length:" in head[: head.index(b"\r\n\r\n") + 2]
+        pass
+    return None
 
 
 def _member(window: _Window, offset: int) -> tuple[bytes, int] | None:
@@ -178,9 +182,26 @@ def _number(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def _damaged(path: str, offset: int, head: bytes) -> dict:
+    fields = _fields(head)
+    return {
+        "file": path,
+        "offset": offset,
+        "page_id": _number(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri"),
+        "record_type": fields.get("warc-type"),
+        "refers_to": _number(fields.get("warc-refers-to")),
+        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"),
+        "sound": False,
+    }
+
+
 def _parse(path: str, offset: int, content: bytes, with_payload: bool) -> dict:
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = _fields(head)
+    stated_length = fields["content-length"]
+    if not stated_length.isdigit() or int(stated_length) > len(rest):
+        return _damaged(path, offset, head)
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     revisit = fields.get("warc-type") == "revisit"
@@ -207,19 +228,23 @@ def records_in_range(path: str, size: int, start: int, end: int, with_payload: b
     with fs.open_input_file(name) as source:
         window, at = _Window(source, size), start
         while (at := window.find(at, end)) >= 0:
-            found = _member(window, at) if _looks_like_record(window, at) else None
-            if found is None:
+            head = _header(window, at)
+            found = _member(window, at) if head is not None else None
+            if head is None:
+                at += 1
+            elif found is None:
+                yield _damaged(path, at, head)
                 at += 1
-                continue
-            yield _parse(path, at, found[0], with_payload)
-            at = found[1]
+            else:
+                yield _parse(path, at, found[0], with_payload)
+                at = found[1]
 
 
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of archives given as path, bytes; one task or more per file, none per record."""
     n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     cuts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))
-    ranges = files.select("path", "bytes", F.explode(cuts).alias("start")).repartition(min(int(n), MAX_TASKS), "path", "start")
+    ranges = files.select("path", "bytes", F.explode(cuts).alias("start")).repartitionByRange(min(int(n), MAX_TASKS), "path", "start")
 
     def run(batches):
         columns = [x.split()[0] for x in RECORDS.split(", ")]
@@ -240,7 +265,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool =
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=columns)
-    for c in ("page_id", "refers_to"):
+    for c in ("page_id", "refers_to", "payload_bytes"):
         frame[c] = frame[c].astype("Int64")
     return frame
 

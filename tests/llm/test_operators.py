@@ -1,5 +1,6 @@
 """The ten operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -70,6 +71,30 @@ def test_warc_reads_headers_of_any_length(spark):
         assert got[1][4] > 1 << 16 and got[2][4] == 3_000_013
 
 
+def test_warc_reports_damaged_records(tmp_path):
+    rng = np.random.default_rng(3)
+    made = [warc.record(i, f"u{i}", bytes(rng.integers(32, 127, 4000, np.uint8)), "X" * 32, None) for i in range(3)]
+    made[1] = made[1][:1500]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(made))
+    got = list(warc.records_in_range(str(path), path.stat().st_size, 0, path.stat().st_size))
+    assert [(r["page_id"], r["url"], r.get("payload_bytes")) for r in got] == [(0, "u0", 4000), (1, "u1", None), (2, "u2", 4000)]
+    assert not got[1]["sound"]
+
+
+def test_warc_header_names_in_any_case(tmp_path):
+    data = gzip.compress(b"WARC/1.0\r\nwarc-type: response\r\nCONTENT-LENGTH : 23\r\nWARC-Record-ID: <urn:page:5>\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabcd\r\n\r\n")
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    assert [(r["page_id"], r["payload_bytes"]) for r in warc.records_in_range(str(path), len(data), 0, len(data))] == [(5, 4)]
+
+
+def test_warc_most_pages_share_one_payload(spark):
+    rows = [(i, "u", "same" if i % 3 else f"p{i}") for i in range(300)]
+    got = {r.page_id: r for r in warc.read(warc.write(frame(spark, rows, "page_id bigint, url string, html string"), fresh_path(spark, "warc-hot"))).collect()}
+    assert len(got) == 300 and all(got[i].refers_to == (1 if i % 3 and i > 1 else None) for i in range(300))
+
+
 def test_warc_empty_table(spark):
     files = warc.write(frame(spark, [], "page_id bigint, url string, html string"), fresh_path(spark, "warc-test"))
     assert warc.read(files).count() == 0
