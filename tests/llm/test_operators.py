@@ -217,19 +217,44 @@ def naive_best_fit(lengths, size):
     return rows
 
 
-def test_best_fit_matches_a_plain_search():
+def test_packing_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(5)
-    for _ in range(20):
-        lengths = rng.integers(1, 65, rng.integers(0, 200))
-        got = packing.best_fit_decreasing(lengths, 64)
-        assert sorted(i for r in got for i in r) == list(range(len(lengths)))
-        assert sorted(int(lengths[r].sum()) for r in got) == sorted(64 - r["room"] for r in naive_best_fit(lengths.tolist(), 64))
+    for trial in range(60):
+        lengths = rng.integers(1, (64, 20, 5)[trial % 3], rng.integers(0, 400))
+        counts = Counter(lengths.tolist())
+        plan = packing.packing_plan(counts, 64)
+        rows = defaultdict(list)
+        for n, count in counts.items():
+            row, slot = packing.placed(plan, np.full(count, n), np.arange(count))
+            for r, x in zip(row.tolist(), slot.tolist()):
+                rows[r].append((x, n))
+        assert sum(map(len, rows.values())) == len(lengths) and sorted(rows) == list(range(len(rows)))
+        assert all(len({x for x, _ in r}) == len(r) and [n for _, n in sorted(r)] == sorted((n for _, n in r), reverse=True) for r in rows.values())
+        assert sorted(sum(n for _, n in r) for r in rows.values()) == sorted(64 - r["room"] for r in naive_best_fit(lengths.tolist(), 64))
+
+
+def test_packing_plan_is_small_for_any_counts():
+    rng = np.random.default_rng(6)
+    plan = packing.packing_plan({n: int(c) for n, c in enumerate(rng.integers(1, 10**12, 2047), 1)}, 2048)
+    assert len(plan) < 90_000
+
+
+def test_stretches_leave_the_ids_alone(monkeypatch):
+    rng = random.Random(8)
+    path = packing.default_vocabulary()
+    kind = np.dtype("<u2")
+    texts = ["".join(rng.choice("ab  \n\t.'s9é\u00a0\u3000") for _ in range(rng.randrange(300))) for _ in range(1500)]
+    texts += ["x" * 400, " " * 400, "ab" + " " * 200 + "cd " * 90, ""]
+    whole = [packing.token_ids(t, path, kind).tolist() for t in texts]
+    monkeypatch.setattr(packing, "PIECE_CHARS", 7)
+    assert any(len(packing.stretches(t)) > 5 for t in texts)
+    assert [packing.token_ids(t, path, kind).tolist() for t in texts] == whole
 
 
 def test_packing_loses_nothing(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(1, 400))) for i in range(30)] + [(90, None), (91, ""), (92, prose(rng, 9000)), (93, "é" * 5000), (None, "no id"), (5, "again")]
-    got = packing.pack(frame(spark, rows).withColumn("pack_id", F.lit(0)), length=128, window_tokens=5000).collect()
+    got = packing.pack(frame(spark, rows).withColumn("pack_id", F.lit(0)), length=128).collect()
     encode = packing.encoding(packing.default_vocabulary()).encode_ordinary
     back = defaultdict(list)
     for r in got:
@@ -244,6 +269,11 @@ def test_packing_loses_nothing(spark):
             assert [t for _, c in sorted(back[doc]) for t in c] == encode(text)
     assert sum(r.n_tokens for r in got) == sum(len(encode(t)) for _, t in rows if t)
     assert 90 not in back and packing.pack(frame(spark, [])).count() == 0
+    rests = [len(encode(t)) % 128 for _, t in rows if t and len(encode(t)) % 128]
+    assert sum(r.pack_id >= 0 for r in got) == len(naive_best_fit(rests, 128))
+    key = lambda found: sorted((r.pack_id if r.pack_id >= 0 else -1, bytes(r.input_ids), r.doc_ids) for r in found)
+    again = packing.pack(frame(spark, rows[::-1]).repartition(7), length=128).collect()
+    assert key(again) == key(got)
 
 
 # 5
