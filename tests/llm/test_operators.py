@@ -296,27 +296,48 @@ def brute_contamination(docs, items, size=10):
     return out
 
 
+def brute_near(docs, items, reach, size=10):
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for doc, text in docs:
+        w, found = fold(text), set()
+        for item, t in items:
+            q = fold(t)
+            wins = [set(q[i : i + size]) for i in range(max(1, len(q) - size + 1) if q else 0)]
+            if any(win <= set(w[p : p + reach]) for win in wins for p in range(max(1, len(w) - reach + 1))):
+                found.add(item)
+        out[doc] = found
+    return out
+
+
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
 def test_decontamination_matches_brute_force(spark, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
     monkeypatch.setattr(decontaminate, "SHARD_TOKENS", 300)
     rng = random.Random(5)
-    items = [(i, prose(rng, rng.choice([0, 3, 9, 10, 14]), 6)) for i in range(12)] + [(50, None), (51, "é Ü-x"), (1, "w1 w1 w1")]
-    docs = [(i, prose(rng, rng.randrange(60), 6)) for i in range(40)] + [(70, None), (71, ""), (72, "É é, Ü X " * 40), (73, items[3][1].upper() if items[3][1] else "x")]
-    got = decontaminate.digest(decontaminate.match(frame(spark, docs).withColumn("items", F.lit("clash")), frame(spark, items, "item_id bigint, text string"))).collect()
-    want = brute_contamination(docs, items)
+    items = [(i, prose(rng, rng.choice([0, 3, 9, 10, 14]), 6 + i)) for i in range(12)] + [(50, None), (51, "é Ü-x"), (1, "w1 w1 w1"), (None, "w2 w3 w2")]
+    docs = [(i, prose(rng, rng.randrange(60), 6 + i % 12)) for i in range(60)] + [(70, None), (71, ""), (72, "É é, Ü X " * 400), (73, items[3][1].upper() if items[3][1] else "x")]
+    docs += [(74, prose(rng, 3000, 12)), (75, "x w2 w3 w2 y"), (75, "x w2 w3 w2 y")]
+    clash = frame(spark, docs).withColumn("items", F.lit("clash")).withColumn("spans", F.lit(0))
+    found = decontaminate.match(clash, frame(spark, items, "item_id bigint, text string"), reach=14, keep=("doc_id", "items", "spans"))
+    assert {r.row.items for r in found.collect()} == {"clash"}
+    want, near = brute_contamination(docs, items), brute_near(docs, items, 14)
+    digest = lambda ids: hashlib.sha256(",".join(sorted(str(x) for x in ids if x is not None)).encode()).hexdigest()
+    got = decontaminate.digest(found).collect()
     for r in got:
-        n, hit, found = want[r.doc_id]
-        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(found), hit > 0)
-        assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-    assert len(got) == len(docs)
+        n, hit, ids = want[r.doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(ids), hit > 0)
+        assert r.items_sha256 == digest(ids)
+        assert (r.n_near_items, r.near_items_sha256) == (len(near[r.doc_id]), digest(near[r.doc_id]))
+    assert len(got) == len(docs) and None in want[75][2]
 
 
 def test_proximity_and_empty_benchmark(spark):
     docs = frame(spark, [(1, "alpha x beta y gamma"), (2, "alpha beta"), (3, "gamma " + "z " * 40 + "alpha beta")])
-    got = {r.doc_id: r.near_items for r in decontaminate.match(docs, frame(spark, [(7, "gamma beta alpha")], "item_id bigint, text string"), reach=5).collect()}
-    assert got == {1: [7], 2: [], 3: []}
+    got = {r.row.doc_id: r.near_items for r in decontaminate.match(docs, frame(spark, [("i7", "gamma beta alpha")], "item_id string, text string"), reach=5).collect()}
+    assert got == {1: ["i7"], 2: [], 3: []}
     assert decontaminate.match(docs, frame(spark, [], "item_id bigint, text string")).where(F.size("spans") > 0).count() == 0
+    assert decontaminate.match(frame(spark, []), frame(spark, [(1, "a")], "item_id bigint, text string")).count() == 0
 
 
 # 6
