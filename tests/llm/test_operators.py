@@ -394,13 +394,52 @@ def test_components_of_a_long_chain(spark):
 # 7
 
 
-def test_water_fill_serves_siblings_first():
-    got = mixing.budgets({("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("b", "y", "3"): 1000}, mixing.Mix(total=400, max_epochs=1))
+def plain_budgets(supply, mix):
+    """Budgets by recursion, each family filled round by round."""
+    total = mix.total if mix.total is not None else int(mix.share * sum(supply.values()))
+
+    def capacity(leaves, depth):
+        return sum(supply[x] * mix.max_epochs for x in leaves if all(mix.weights.get(x[:d], 1.0) > 0 for d in range(depth + 1, 4)))
+
+    def fill(budget, nodes):
+        given, live = dict.fromkeys(nodes, 0.0), {k for k, (w, c) in nodes.items() if w > 0 and c > 0}
+        left = min(budget, sum(nodes[k][1] for k in live))
+        while live and left > 1e-9:
+            weight = sum(nodes[k][0] for k in live)
+            full = {k for k in live if left * nodes[k][0] / weight >= nodes[k][1]}
+            for k in full or live:
+                given[k] = nodes[k][1] if full else left * nodes[k][0] / weight
+            left -= sum(given[k] for k in full) if full else left
+            live -= full
+        return given
+
+    def descend(leaves, depth, budget):
+        if depth == 3:
+            return {leaves[0]: int(budget + 1e-6)}
+        families = defaultdict(list)
+        for x in leaves:
+            families[x[depth]].append(x)
+        got = fill(budget, {k: (mix.weights.get(v[0][: depth + 1], 1.0), capacity(v, depth + 1)) for k, v in families.items()})
+        return {x: n for k, v in families.items() for x, n in descend(v, depth + 1, got[k]).items()}
+
+    return descend(sorted(supply), 0, float(total)) if supply else {}
+
+
+def spark_budgets(spark, supply, mix):
+    rows = frame(spark, [(*k, v) for k, v in supply.items()], "domain string, lang string, source string, tokens bigint")
+    return {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(rows, mix).collect()}
+
+
+def test_budgets_serve_siblings_first(spark):
+    got = spark_budgets(spark, {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("b", "y", "3"): 1000}, mixing.Mix(total=400, max_epochs=1))
     assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 190, ("b", "y", "3"): 200}
-    short = mixing.budgets({("a", "x", "1"): 10, ("b", "y", "3"): 1000}, mixing.Mix(total=400, max_epochs=1))
-    assert short == {("a", "x", "1"): 10, ("b", "y", "3"): 390}
-    assert mixing.budgets({("a", "x", "1"): 10}, mixing.Mix(total=400, max_epochs=2)) == {("a", "x", "1"): 20}
-    assert mixing.budgets({("a", "x", "1"): 10, ("b", "y", "2"): 10}, mixing.Mix({("a",): 0.0}, total=15, max_epochs=1)) == {("a", "x", "1"): 0, ("b", "y", "2"): 10}
+    rng = random.Random(9)
+    for trial in range(6):
+        supply = {(rng.choice("abc"), rng.choice("xy"), str(rng.randrange(6))): rng.choice([0, 7, 50, 50, 400, 9000]) for _ in range(25)}
+        nodes = sorted({x[:d] for x in supply for d in (1, 2, 3)})
+        mix = mixing.Mix({n: rng.choice([0.0, 0.5, 1.0, 3.0]) for n in nodes if rng.random() < 0.5}, share=rng.choice([0.1, 0.6, 1.5]), max_epochs=rng.choice([1, 2.5]))
+        got, want = spark_budgets(spark, supply, mix), plain_budgets(supply, mix)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want), trial
 
 
 def test_selection_is_the_longest_prefix(spark):
@@ -408,14 +447,15 @@ def test_selection_is_the_longest_prefix(spark):
     rows = [(i, "x" * rng.randrange(0, 400), rng.choice(["en", None]), f"src{i % 3}") for i in range(900)] + [(1000, None, "en", None)]
     docs = frame(spark, rows, "doc_id bigint, text string, lang string, source string").withColumn("bucket", F.lit("clash")).withColumn("leaf", F.lit("clash"))
     mix = mixing.Mix(share=0.7, max_epochs=3)
-    got = mixing.select(docs, mix)
+    quarter = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4.0)
+    got = mixing.select(docs, mix, tokens=quarter)
     assert got.columns[: len(docs.columns)] == docs.columns
-    tokens = {r.doc_id: r.t for r in docs.select("doc_id", mixing.text_tokens().alias("t")).collect()}
+    tokens = {r.doc_id: r.t for r in docs.select("doc_id", quarter.alias("t")).collect()}
     leaf = {r.doc_id: tuple(r.leaf) for r in docs.select("doc_id", F.struct(F.coalesce(mixing.site_domain(), F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("leaf")).collect()}
     supply = Counter()
     for d, x in leaf.items():
         supply[x] += tokens[d]
-    budget = mixing.budgets(dict(supply), mix)
+    budget = plain_budgets(dict(supply), mix)
     chosen = defaultdict(set)
     for r in got.collect():
         chosen[(leaf[r.doc_id], r.mix_epoch)].add(r.doc_id)
@@ -426,9 +466,9 @@ def test_selection_is_the_longest_prefix(spark):
         members = [d for d in leaf if leaf[d] == x]
         for e in range(whole):
             assert chosen[(x, e)] == set(members)
-        order = {r.doc_id: r.p for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), F.lit(whole).cast("bigint"), "doc_id"), 52).alias("b"), F.xxhash64(F.lit(mix.seed), F.lit(whole).cast("bigint"), "doc_id").alias("p")).select("doc_id", F.struct("b", "p").alias("p")).collect()}
+        order = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64(F.lit(mix.seed), F.lit(whole).cast("bigint"), "doc_id").alias("p")).collect()}
         want, used = set(), 0
-        for d in sorted(members, key=lambda d: tuple(order[d])):
+        for d in sorted(members, key=order.get):
             used += tokens[d]
             if used > rest:
                 break
@@ -437,6 +477,19 @@ def test_selection_is_the_longest_prefix(spark):
     assert mixing.select(docs.limit(0), mix).count() == 0
 
 
+def test_mixture_of_many_leaves_and_real_tokens(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), "en", f"src{rng.randrange(30) if i % 3 else 1}") for i in range(600)] + [(7, "again and again", "en", "src1")]
+    docs = frame(spark, rows, "doc_id bigint, text string, lang string, source string")
+    key = lambda found: sorted((r.doc_id, r.source, r.mix_epoch) for r in found.collect())
+    whole = key(mixing.select(docs, mixing.WEB_MIX))
+    monkeypatch.setattr(mixing, "SENT_LEAVES", 4)
+    assert key(mixing.select(docs, mixing.WEB_MIX)) == whole and len(whole) > 300
+    encode = packing.encoding(packing.default_vocabulary()).encode_ordinary
+    got = mixing.with_tokens(docs.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id, r.tokens) for r in got) == sorted((d, len(encode(t))) for d, t, *_ in rows)
+
+
 # 8
 
 
