@@ -8,22 +8,26 @@ is when overlap >= 3/7 of the sum of their sizes.
 
 Which entries of the product can reach that bound: a link needs a common shingle among the
 first ``size - ceil(3/4 size) + 1`` shingles of both rows in any one order of all shingles
-(the size-derived bound on prefixes). The order is by frequency in a fixed-size table of
-hashed counts over the whole corpus, rarest first, so passages that many documents share come last.
-
-* Columns that few classes have in their prefix: each column adds one to the overlap count of its
-  pairs; a pair is dropped when its count and all that could still follow the prefixes stay below the
-  bound, and the overlaps of the others are counted on the whole rows. (Whichever prefix ends first in the
-  order, nothing of it can meet the other row beyond that row's prefix, so what can follow is the rest of one row.
-  Pairs that also share a column with many classes are counted too low here, but are met by the block products.)
-* Columns that many classes have: classes joined by such columns form clusters. A cluster's rows
-  are cut into blocks; a block product accumulates overlap counts column block by column block
-  in one task's memory and emits only a spanning forest of what reaches the bound, never pairs.
-  Two differently dealt rounds of diagonal blocks join nearly all of a cluster; then the rows outside its
-  main component meet all other rows, block by block, so no link between components is lost.
+(the size-derived bound on prefixes). Two orders are used, one after the other:
+
+1. All classes, ordered by a fixed-size table of hashed counts, rarest first. The table only guides: where the corpus
+   has far more shingles than slots it orders them as badly as chance, and nothing but work depends on it. Columns that few
+   classes have in their prefix: each column adds one to the overlap count of its pairs; a pair is dropped when its
+   count and all that could still follow the prefixes stay below the bound, and the overlaps of the others are counted on the whole rows.
+   (Whichever prefix ends first in the order, nothing of it can meet the other row beyond that row's prefix, so what can follow is the rest of one row.)
+2. Classes with a column in their prefix that many classes have there. Any other class meets all its links in the first
+   round, so only these are ordered again among themselves, now by exact counts, and the same is done. A passage that many
+   documents share comes last in this order; what is still met by many are rows made almost wholly of common shingles.
+3. Those, mostly large groups of near copies, form clusters along their common columns. A cluster's rows are cut into
+   blocks; a block product accumulates overlap counts column block by column block in one task's memory and emits only a
+   spanning forest of what reaches the bound, never pairs. Two differently dealt rounds of diagonal blocks join
+   nearly all of a group. Columns all of whose rows are joined by then are done with; along the others the rows outside the
+   largest component meet all rows of a size that allows a link, block by block, so no link between components is lost.
+
+Pairs that share a column of many classes are counted too low in rounds 1 and 2, but both their classes go on to the next round.
 
 Rows with a null doc_id are linked with nothing. Repeated doc_ids: each row has its own set.
-Classes are told apart by a 64-bit fingerprint of their set. An empty table gives no rows.
+Classes are told apart by a 64-bit fingerprint of their set. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, join_on_common, materialise, table
 from .components import components
 
 WORDS = 5
 #: Size of the table of hashed counts (2 ** 21 counts of 4 bytes: what is broadcast, whatever the input).
 TABLE_BITS = 21
-#: A column with more classes than this in its prefix lists is worked by block products.
+#: A column with more classes than this in its prefix lists is left to the next round.
 LIST_MAX = 64
-#: A shingle counted this often in the table is dealt out over SALTS partitions.
+#: A shingle counted this often in the table, and eight times as often as the mean, is dealt out over SALTS partitions.
 HOT = 4096
 SALTS = 64
 BLOCK_ROWS = 512
@@ -94,30 +98,29 @@ def _texts(batches, *columns) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns))
 
 
-_META = "doc_id bigint, n bigint, k bigint, range int, counts binary"
+_META = "doc_id bigint, n bigint, k bigint, text_hash bigint, range int, counts binary"
 _RANGES = 8
 
 
 def _describe(batches):
-    """(doc_id, n, k) per document and, at the end, the task's hashed shingle counts in _RANGES pieces under the task's number."""
+    """(doc_id, n, k, text_hash) per document and, at the end, the task's hashed shingle counts in _RANGES pieces under the task's number."""
     counts = np.zeros(1 << TABLE_BITS, np.uint32)
-    held, waiting, rows = [], 0, ([], [], [])
+    held, waiting, rows = [], 0, ([], [], [], [])
 
     def out():
         n = len(rows[0])
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-            names=["doc_id", "n", "k", "range", "counts"],
+            [*(pa.array(x, pa.int64()) for x in rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+            names=["doc_id", "n", "k", "text_hash", "range", "counts"],
         )
         for x in rows:
             x.clear()
         return batch
 
-    for doc_id, text in _texts(batches, "doc_id", "text"):
+    for doc_id, text, text_hash in _texts(batches, "doc_id", "text", "text_hash"):
         row = shingles(text)
-        rows[0].append(doc_id)
-        rows[1].append(len(row))
-        rows[2].append(fingerprint(row) if len(row) else None)
+        for x, v in zip(rows, (doc_id, len(row), fingerprint(row) if len(row) else None, text_hash)):
+            x.append(v)
         held.append(row >> np.uint64(64 - TABLE_BITS))
         waiting += len(row)
         if waiting > 2_000_000:
@@ -130,8 +133,8 @@ def _describe(batches):
     yield out()
     small = np.minimum(counts, 65535).astype("<u2").reshape(_RANGES, -1)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([TaskContext.get().partitionId()] * _RANGES, pa.int64())] + [pa.nulls(_RANGES, pa.int64())] * 2 + [pa.array(range(_RANGES), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
-        names=["doc_id", "n", "k", "range", "counts"],
+        [pa.array([TaskContext.get().partitionId()] * _RANGES, pa.int64())] + [pa.nulls(_RANGES, pa.int64())] * 3 + [pa.array(range(_RANGES), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())],
+        names=["doc_id", "n", "k", "text_hash", "range", "counts"],
     )
 
 
@@ -198,7 +201,7 @@ def _diagonal(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _outer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows outside the main component (side 0) by all rows (side 1)."""
+    """Rows outside the main component (side 0) by rows (side 1)."""
     pdf = pdf.drop_duplicates(["side", "k"])
     rows = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
     side, comp = pdf["side"].to_numpy(), pdf["comp"].to_numpy()
@@ -236,42 +239,51 @@ def _linked(batches):
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def jaccard_classes(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included)."""
-    spark = documents.sparkSession
-    documents = documents.select("doc_id", "text")
-    described = materialise(documents.mapInArrow(_describe, _META), "shingles")
-    meta = described.where(F.col("range").isNull()).select("doc_id", "n", "k")
+def _shingle_counts(described: DataFrame) -> np.ndarray:
+    """The tasks' tables of hashed counts added up in two steps of equal width, so no task reads more than the square root of their number."""
     tables = described.where(F.col("range").isNotNull()).select("range", "counts", F.col("doc_id").alias("task"))
     groups = max(1, round((tables.count() / _RANGES) ** 0.5))
-    # Added up in two steps of equal width, so no task reads more than the square root of the number of tables.
     pieces = tables.repartition(_RANGES * groups, "range", F.col("task") % groups).select("range", "counts").mapInArrow(_add_counts, "range int, counts binary")
     pieces = pieces.repartition(_RANGES, "range").mapInArrow(_add_counts, "range int, counts binary")
     counts = np.zeros((_RANGES, (1 << TABLE_BITS) // _RANGES), np.uint32)
     for r in pieces.collect():  # a table of fixed size
         counts[r["range"]] = np.frombuffer(r["counts"], "<u4")
-    sent = spark.sparkContext.broadcast(counts.ravel())
+    return counts.ravel()
+
+
+def _posting_batch(held: tuple[list, ...]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(held, types)], names=["h", "k", "n", "salt"])
+
+
+def _hinted_postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(h, k, n, salt) of the prefixes in the order of the table; a class may come from several tasks. salt: -1, or a part of a very common column."""
+    sent = documents.sparkSession.sparkContext.broadcast(counts)
+    often = max(HOT, 8 * int(counts.mean(dtype=np.float64)))
 
     def post(batches):
-        table_, seen, held = sent.value, set(), ([], [], [], [])
-        size = 0
+        table_, seen, held, size = sent.value, set(), ([], [], [], []), 0
         for doc_id, text in _texts(batches, "doc_id", "text"):
             row = shingles(text)
             if doc_id is None or not len(row) or (k := fingerprint(row)) in seen:
                 continue
             seen.add(k)
             p = prefix(row, table_)
-            hot = table_[p >> np.uint64(64 - TABLE_BITS)] >= HOT
+            hot = table_[p >> np.uint64(64 - TABLE_BITS)] >= often
             for x, y in zip(held, (p.astype(np.int64), np.full(len(p), k), np.full(len(p), len(row)), np.where(hot, k % SALTS, -1))):
                 x.append(y)
             size += len(p)
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "k", "n", "salt"])
+                yield _posting_batch(held)
                 held, size = ([], [], [], []), 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "k", "n", "salt"])
+            yield _posting_batch(held)
+
+    return documents.select("doc_id", "text").mapInArrow(post, "h bigint, k bigint, n int, salt int")
+
 
-    postings = documents.mapInArrow(post, "h bigint, k bigint, n int, salt int")
+def _pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) that may link by columns of few classes, and (h, k) of the columns of many."""
     column = Window.partitionBy("h", "salt")
     live = (
         postings.withColumn("f", F.count(F.lit(1)).over(column))
@@ -280,37 +292,102 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
         .select("h", "k", "n", F.when(F.col("salt") >= 0, F.lit(LIST_MAX + 1)).otherwise(F.least("f", F.lit(LIST_MAX + 1))).alias("f"))
     )
     live = materialise(live, "postings")
-    hot = live.where(F.col("f") > LIST_MAX)
-    first = hot.groupBy("h").agg(F.min("k").alias("m"), F.max("k").alias("l")).where(F.col("m") != F.col("l"))
-    hot = hot.join(first, "h").select("k", "m").distinct()
-    listed = live.where(F.col("f") <= LIST_MAX).distinct()
+    many = materialise(live.where(F.col("f") > LIST_MAX).select("h", "k").distinct(), "many")
+    several = many.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
+    many = materialise(join_on_common(many, several, "h", "f", many.count()), "several")
+    listed = live.where(F.col("f") <= LIST_MAX).select("h", "k", "n").distinct()
     a, b = listed.select("h", F.col("k").alias("u"), F.col("n").alias("nu")), listed.select("h", F.col("k").alias("v"), F.col("n").alias("nv"))
     pairs = a.join(b, "h").where((F.col("u") < F.col("v")) & (4 * F.least("nu", "nv") >= 3 * F.greatest("nu", "nv")))
     rest = F.greatest(F.expr("(3 * nu + 3) div 4 - 1"), F.expr("(3 * nv + 3) div 4 - 1"))
     pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("o")).where(7 * (F.col("o") + rest) >= 3 * (F.col("nu") + F.col("nv"))).select("u", "v")
-    pairs, hot = materialise(pairs, "pairs"), materialise(hot, "hot")
+    pairs = materialise(pairs, "pairs")
+    discard(live)
+    return pairs, many
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    by = lambda name, s: sets.select(F.col("k").alias(name), F.col("s").alias(s))
+    return pairs.join(by("u", "a"), "u").join(by("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked, "u bigint, v bigint").distinct()
+
+
+def _columns(batches):
+    for k, s in _texts(batches, "k", "s"):
+        row = np.frombuffer(s, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(len(row), k, np.int64))], names=["h", "k"])
+
+
+def _exact_postings(sets: DataFrame) -> DataFrame:
+    """(h, k, n, salt) of the prefixes of all sets in the order of exact counts among them, rarest first."""
+    sizes = sets.agg(F.sum("n"), F.count(F.lit(1))).first()
+    columns = sets.select("k", "s").mapInArrow(_columns, "h bigint, k bigint")
+    counts = materialise(columns.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > LIST_MAX), "counts")
+    common = join_on_common(columns, counts.withColumn("c", F.col("f")), "h", "f", int(sizes[0]))
+    common = common.groupBy("k").agg(F.collect_list("h").alias("h"), F.collect_list("c").alias("c"))
+    # What a whole prefix list may hold at most decides on salting: no column is in more lists than it has rows.
+    often = max(HOT, int(sizes[1]) // 1000)
 
-    needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).union(hot.select("k")).distinct()
+    def post(batches):
+        held, size = ([], [], [], []), 0
+        for k, s, hs, cs in _texts(batches, "k", "s", "h", "c"):
+            row, count = np.frombuffer(s, np.uint64), np.zeros(len(s) // 8, np.int64)
+            if hs:
+                count[np.searchsorted(row, np.array(hs, np.int64).astype(np.uint64))] = cs
+            take = np.lexsort((row, count))[: len(row) - (3 * len(row) + 3) // 4 + 1]
+            for x, y in zip(held, (row[take].astype(np.int64), np.full(len(take), k), np.full(len(take), len(row)), np.where(count[take] >= often, k % SALTS, -1))):
+                x.append(y)
+            size += len(take)
+            if size > 50_000:
+                yield _posting_batch(held)
+                held, size = ([], [], [], []), 0
+        if size:
+            yield _posting_batch(held)
+
+    return sets.select("k", "s").join(common, "k", "left").mapInArrow(post, "h bigint, k bigint, n int, salt int")
+
+
+def jaccard_classes(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included),
+    cluster (one number for all rows that links join, null where there is no shingle or doc_id) and text_hash (xxhash64 of the text)."""
+    documents = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    described = materialise(documents.mapInArrow(_describe, _META), "shingles")
+    meta = described.where(F.col("range").isNull()).select("doc_id", "n", "k", "text_hash")
+    pairs, many = _pairs(_hinted_postings(documents, _shingle_counts(described)))
+    again = materialise(many.select("k").distinct(), "again")
     classes = meta.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("first"))
+    needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).union(again).distinct()
     ids = needed.join(classes, "k").select(F.col("first").alias("doc_id"))
     sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k bigint, n bigint, s binary"), "sets")
-    by = lambda name, s: sets.select(F.col("k").alias(name), F.col("s").alias(s))
-    links = pairs.join(by("u", "a"), "u").join(by("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked, "u bigint, v bigint")
-    links = materialise(links.distinct(), "links")
-    if not hot.isEmpty():
-        links = _hot_links(hot, sets, links)
+    links = materialise(_links(pairs, sets), "links")
+    if not again.isEmpty():
+        rows = materialise(sets.join(again, "k", "left_semi"), "again-sets")
+        pairs, many = _pairs(_exact_postings(rows))
+        links = materialise(links.union(_links(pairs, rows)), "links")
+        if not many.isEmpty():
+            links = _block_links(many, rows, links)
     found = components(links)
     labelled = classes.join(found, F.col("k") == F.col("id"), "left").select("k", "first", F.coalesce("comp", "k").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of_class = labelled.join(smallest, "comp").select("k", "component_id")
+    of_class = labelled.join(smallest, "comp").select("k", "component_id", "comp")
+    named = F.col("doc_id").isNotNull()
     return meta.join(of_class, "k", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(named, F.col("comp")).alias("cluster"),
+        "text_hash",
     )
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """links and the forests of the block products of every cluster of the hot columns."""
-    clusters = components(hot.select(F.col("k").alias("u"), F.col("m").alias("v"))).select(F.col("id").alias("k"), F.col("comp").alias("c"))
+def _along(columns: DataFrame) -> DataFrame:
+    """(k, c): the clusters that common columns (h, k) make of their rows."""
+    heads = columns.groupBy("h").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("f"))
+    tied = join_on_common(columns, heads, "h", "f", columns.count()).select(F.col("k").alias("u"), F.col("m").alias("v"))
+    return components(tied).select(F.col("id").alias("k"), F.col("comp").alias("c"))
+
+
+def _block_links(many: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """links and the forests of the block products along columns (h, k) that many classes have in their prefix."""
+    clusters = _along(many)
     sizes = clusters.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
     rows = materialise(clusters.join(sizes, "c").join(sets.select("k", "s"), "k"), "clusters")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
@@ -318,25 +395,33 @@ def _hot_links(hot: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k", "deal"), blocks)).select("c", "deal", "block", "k", "s")
     inner = dealt.groupBy("c", "deal", "block").applyInPandas(lambda pdf: _diagonal(pdf), "u bigint, v bigint")
     links = materialise(links.union(inner), "links")
-    comps = components(links)
-    wide = rows.where(F.col("size") > BLOCK_ROWS).join(comps, F.col("k") == F.col("id"), "left").select("c", "size", "k", "s", F.coalesce("comp", "k").alias("comp"))
-    wide = materialise(wide, "clusters")
+    wide = rows.where(F.col("size") > BLOCK_ROWS).select("k", "s")
+    discard(sets)
+    comps = components(links).select(F.col("id").alias("k"), "comp")
+    wide = materialise(wide.join(comps, "k", "left").select("k", "s", F.coalesce("comp", "k").alias("comp")), "wide")
+    # Columns that stand in several components yet.
+    spread = many.join(wide.select("k", "comp"), "k")
+    open_ = spread.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("f")).where(F.col("a") != F.col("b")).select("h", "f")
+    open_ = materialise(join_on_common(spread.select("h", "k"), open_, "h", "f", many.count()), "open")
+    if open_.isEmpty():
+        return links
+    wide = materialise(wide.join(_along(open_), "k"), "wide")
     parts = wide.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("c").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where(F.col("all") > F.col("most")).withColumn("rest", F.col("all") - F.col("most"))
-    if main.isEmpty():
-        return links
-    wide = wide.join(main, "c")
-    n_out, n_all = F.ceil(F.col("rest") / OUTER_ROWS).cast("int"), F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    wide = wide.join(main.where(F.col("all") > F.col("most")), "c")
+    # Rows of one band, or of neighbouring ones, alone can have sizes in a ratio of 3 to 4 or nearer.
+    wide = wide.withColumn("band", F.floor(F.log(F.octet_length("s") / 8.0) / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
+    n_out, n_all = F.ceil((F.col("all") - F.col("most")) / OUTER_ROWS).cast("int"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int")
     place = lambda n: F.pmod(F.xxhash64("k"), n).cast("int")
-    outer = wide.where(F.col("comp") != F.col("main")).select("c", "k", "s", "comp", F.lit(0).alias("side"), place(n_out).alias("o"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("b"))
-    every = wide.select("c", "k", "s", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("o"), place(n_all).alias("b"))
-    crossed = outer.unionByName(every).groupBy("c", "o", "b").applyInPandas(lambda pdf: _outer(pdf), "u bigint, v bigint")
+    outer = wide.where(F.col("comp") != F.col("main")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    outer = outer.select("c", "band", "k", "s", "comp", F.lit(0).alias("side"), place(n_out).alias("o"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("b"))
+    every = wide.select("c", "band", "k", "s", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("o"), place(n_all).alias("b"))
+    crossed = outer.unionByName(every).groupBy("c", "band", "o", "b").applyInPandas(lambda pdf: _outer(pdf), "u bigint, v bigint")
     return materialise(links.union(crossed), "links")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP6_SQL = r"""
