@@ -45,6 +45,8 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
         gram = (gram[: len(codes) - n + 1] << np.uint64(8)) | codes[n - 1 :]
         if n in ORDERS:
             found.append(((gram + np.uint64(n << 40)) * _MIX) >> np.uint64(64 - bits))
+    if len(codes) << 4 < 1 << bits:  # sorting few numbers costs less than a flag for each possible one
+        return np.unique(np.concatenate(found)).astype(np.int32)
     seen = np.zeros(1 << bits, bool)
     for x in found:
         seen[x] = True
@@ -157,7 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: i
 
 
 def score(documents: DataFrame, model: NbSvm, bits: int = BITS) -> DataFrame:
-    """All columns of documents and ``score``, which replaces a column of that name."""
+    """All columns of documents and ``score``, which replaces a column of that name; put columns to be kept into a struct."""
     sent = documents.sparkSession.sparkContext.broadcast((model.ratio.astype(np.float32), model.weights.astype(np.float32), model.a, model.b))
     documents = documents.drop("score")
 

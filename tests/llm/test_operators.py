@@ -129,6 +129,23 @@ def test_classifier_learns_and_ignores_the_held_out_fold(spark):
     assert {(r.doc_id, r.score) for r in again} == {(r.doc_id, r.score) for r in scored}
 
 
+def test_scores_match_a_plain_computation(spark):
+    rng = random.Random(2)
+    docs = [(i, f"{prose(rng, 20)} {'good' if i % 2 else 'BAD!!'} {i}" * (1 + 40 * (i % 9 == 0))) for i in range(80)] + [(90, ""), (91, None), (92, "é" * 9)]
+    model = quality_classifier.train(frame(spark, docs), frame(spark, [(i, i % 2) for i in range(80)], "doc_id bigint, quality int"))
+
+    def grams(text):
+        raw = re.sub(rb"[0-9]", b"0", (text or "").encode())
+        found = {raw[i : i + n] for n in (1, 2, 3, 4) for i in range(len(raw) - n + 1)}
+        return {((int.from_bytes(g, "big") + (len(g) << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality_classifier.BITS) for g in found}
+
+    for r in quality_classifier.score(frame(spark, docs), model).collect():
+        ids = sorted(grams(r.text))
+        norm = sum(float(model.ratio[i]) ** 2 for i in ids) ** 0.5
+        margin = sum(float(model.weights[i]) for i in ids) / norm + float(model.weights[-1]) if norm else float(model.weights[-1])
+        assert abs(r.score - 1 / (1 + np.exp(-(model.a * margin + model.b)))) < 1e-4
+
+
 def test_classifier_without_labels(spark):
     got = quality_classifier.classify(frame(spark, [(1, "a")]), frame(spark, [], "doc_id bigint, quality int")).first()
     assert got.score == 0.5 and got.predicted == 0
@@ -665,3 +682,43 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     assert set(seen["mix"]) <= set(seen["decontaminate"])
     packed = P.STAGES[-1][1](spark, df, str(tmp_path)).collect()
     assert {d for r in packed for d in r.doc_ids} == set(seen["mix"])
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, monkeypatch):
+    """Nulls, empty and very long texts, repeated rows, one id for several texts, clashing columns, empty tables: in every stage."""
+    import corpus_pipeline as P
+
+    rng = random.Random(13)
+    base = prose(rng, 80, 3000)
+    texts = [(1, base), (1, base), (1, prose(rng, 80, 3000)), (1, base + " once more"), (2, base + " again"), (3, None), (3, None), (4, ""), (None, base), (None, None), (5, prose(rng, 60000, 3000)), (6, "x")]
+    extra = ("items", "spans", "score", "predicted", "mix_leaf", "mix_epoch", "row", "text_hash", "n_words", "tokens", "cluster")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra)
+    rows = [(d, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else "src1", i, *(f"{c}{i}" for c in extra)) for i, (d, t) in enumerate(texts)]
+    docs = frame(spark, rows, schema)
+    frame(spark, [], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    leak = " ".join(base.split()[5:18])
+    frame(spark, [(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    size = 1 << quality_classifier.BITS
+    monkeypatch.setattr(quality_classifier, "train", lambda *_: quality_classifier.NbSvm(np.zeros(size), np.append(np.zeros(size), 9.0), 1.0, 0.0))  # accepts all
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+        kept = sorted(r.n_chars for r in got)
+        assert all(tuple(r) == rows[r.n_chars] for r in got), name
+        if name == "quality":
+            assert kept == list(range(12))
+        if name == "near_duplicates":  # of 0 1 3 4 one stays; 2 is another text; 5 and 6 are one row
+            assert len(set(kept) & {0, 1, 3, 4}) == 1 and len(set(kept) & {5, 6}) == 1 and set(kept) >= {2, 7, 8, 9, 10, 11} and len(kept) == 8
+        if name == "decontaminate":
+            assert kept == [2, 5, 6, 7, 9, 10, 11]
+        if name == "mix":
+            assert kept and max(Counter(kept).values()) <= 2
+    packed = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in packed) == sum(len(packing.token_ids(t, packing.default_vocabulary(), np.dtype("<u2"))) for _, t in texts)
+    assert P.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_classes_tell_rows_of_one_id_apart(spark):
+    got = jaccard_join.jaccard_classes(frame(spark, [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "A b c d e f g")])).collect()
+    assert len({r.cluster for r in got}) == 2 and len({r.text_hash for r in got}) == 3 and [r.component_id for r in sorted(got)] == [1, 1, 1]
