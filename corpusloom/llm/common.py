@@ -62,15 +62,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_on_common(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+def join_on_common(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
     """rows joined with table (one row per key) on key, where a key may hold any share of the rows.
 
     weight: the column of table that counts the key's rows; total: the count of all rows. Keys with more than one
     ``share``-th of all rows are fewer than ``share``, so they are broadcast; of the others none is hot.
     """
+    key = [key] if isinstance(key, str) else key
     often = F.col(weight) * share > total
     hot, rest = table.where(often).drop(weight), table.where(~often).drop(weight)
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key))
 
 
 def split_words(text: Column) -> Column:

@@ -2,10 +2,15 @@
 
 Distribution. Every window of ``LENGTH`` bytes is routed by the least hash of the ``SEED``-byte strings in it,
 so equal windows always meet, wherever they stand. Neighbouring windows with the same least hash travel as one
-piece of text. Pieces whose hash occurs once in the corpus cannot repeat and stay where they are; of equal
-pieces the first goes on, the others repeat it as a whole. A hash that more than ``BUCKET_PIECES`` different pieces share
+piece of text. Pieces whose hash occurs once in the corpus cannot repeat and stay where they are; a hash that is frequent within
+one batch of one task needs no counting and sends a single row to be counted in the name of all. Of equal pieces (128 bits of
+BLAKE2) the first goes on, found by a minimum that is taken where the pieces are; the others repeat it as a whole and are
+marked without their text being moved. A hash that more than ``BUCKET_PIECES`` different pieces share
 (those around a short line that very many texts hold) has no bucket: its windows are dealt out one by one by a digest of all
-their bytes, and the first in place of equal ones is found by a sort that spills.
+their bytes, and the first in place of equal ones is found in the same way. So no task's work grows with the commonest text.
+
+Why buckets. A sort of all sampled positions of the corpus at once would move two names and a place (24 bytes) for two of
+three bytes in every round, 16 times the input; routed by their seeds, only texts that share 24 bytes are sorted at all.
 
 Sorting. Within a bucket the suffixes of the pieces are sorted by the difference cover {1, 2} modulo 3:
 
@@ -19,7 +24,8 @@ Sorting. Within a bucket the suffixes of the pieces are sorted by the difference
 Texts are UTF-8 bytes; null is empty. Earlier means a smaller doc_id, or the same document and an earlier start; matches
 never cross documents and are judged on the input. Rows with a null doc_id keep all bytes. Rows equal in doc_id and
 text are one document; rows with one doc_id and different texts are different documents (in an order of their own).
-An empty table gives no rows; other columns are ignored. Windows dealt out one by one are told apart by 128 bits of BLAKE2. Texts of one id are told apart by 22 bits of a hash.
+An empty table gives no rows; other columns are ignored. Equal pieces and windows dealt out one by one are told apart by
+128 bits of BLAKE2, several texts of one id by 64 bits of a hash.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, join_on_common, materialise, table
 
 LENGTH = 100
 SEED = 24
@@ -40,6 +46,10 @@ SEED = 24
 PIECE_WINDOWS = 256
 #: Pieces of one bucket on average, and of one hash within a bucket at most.
 BUCKET_PIECES = 12_000
+#: A hash with this many runs in one batch is not counted row by row.
+OFTEN = 64
+#: Hashes without a bucket that are sent out at most (8 MB); they are at most one BUCKET_PIECES-th of the pieces.
+SENT_HASHES = 1_000_000
 
 _C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
@@ -98,13 +108,12 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-#: A run's place in one number: the text's variant (22 bits), first window (31), windows (9) and loop (1).
-_RUNS = "h bigint, doc_id bigint, at bigint"
-VARIANTS = 1 << 22
+#: A run's place in one number: first window, windows (9 bits) and loop (1). A row of no windows stands for the salted ones of its hash.
+_RUNS = "h bigint, doc_id bigint, variant bigint, at bigint, salt int"
 
 
-def _packed(variant: int, starts: np.ndarray, sizes: np.ndarray, loop: np.ndarray) -> np.ndarray:
-    return (((variant << 31) + starts) << 10) + (sizes << 1) + loop
+def _packed(starts: np.ndarray, sizes: np.ndarray, loop: np.ndarray) -> np.ndarray:
+    return (starts << 10) + (sizes << 1) + loop
 
 
 def _find_runs(batches):
@@ -112,13 +121,22 @@ def _find_runs(batches):
     size = 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["h", "doc_id", "at"])
+        h, doc_id, variant, at = (np.concatenate(x) for x in zip(*held))
+        values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+        salt, often = np.full(len(h), -1, np.int32), counts >= OFTEN
+        if often.any():
+            hot = np.flatnonzero(often[inverse])
+            salt[hot] = np.arange(len(hot), dtype=np.int32)
+            n, nothing = int(often.sum()), np.zeros(int(often.sum()), np.int64)
+            h, doc_id, variant, at = (np.concatenate(x) for x in ((h, values[often]), (doc_id, nothing), (variant, nothing), (at, nothing)))
+            salt = np.concatenate([salt, np.full(n, -1, np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, doc_id, variant, at, salt)], names=["h", "doc_id", "variant", "at", "salt"])
 
     for batch in batches:
         for doc_id, variant, text in zip(batch.column("doc_id").to_pylist(), batch.column("variant").to_pylist(), batch.column("text")):
             h, starts, sizes, loop = runs(_bytes(text.as_py()))
             if len(h):
-                held.append((h.view(np.int64), np.full(len(h), doc_id, np.int64), _packed(variant, starts, sizes, loop)))
+                held.append((h.view(np.int64), np.full(len(h), doc_id, np.int64), np.full(len(h), variant, np.int64), _packed(starts, sizes, loop)))
                 size += len(h)
             if size > 100_000:
                 yield out()
@@ -127,15 +145,21 @@ def _find_runs(batches):
         yield out()
 
 
-_PIECES = "h bigint, doc_id bigint, variant int, start int, piece binary"
+_PIECES = "h bigint, doc_id bigint, variant bigint, start bigint, d0 bigint, d1 bigint, piece binary"
+_PLACE = ["doc_id", "variant", "start"]
+
+
+def _digest(raw: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _cut_pieces(batches):
-    cols: tuple[list, ...] = ([], [], [], [], [])
+    cols: tuple[list, ...] = ([], [], [], [], [], [], [])
 
     def out():
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "doc_id", "variant", "start", "piece"]
+            [pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 6, pa.binary()))], names=["h", "doc_id", "variant", "start", "d0", "d1", "piece"]
         )
         for c in cols:
             c.clear()
@@ -144,12 +168,11 @@ def _cut_pieces(batches):
     for batch in batches:
         for doc_id, variant, text, hashes, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "text", "hashes", "places"))):
             raw = _bytes(text)
-            starts = [at >> 10 & 0x7FFFFFFF for at in places]
-            cols[0].extend(hashes)
-            cols[1].extend([doc_id] * len(places))
-            cols[2].extend([variant] * len(places))
-            cols[3].extend(starts)
-            cols[4].extend([raw[s : s + (at >> 1 & 511) + LENGTH - 1] for s, at in zip(starts, places)])
+            for h, at in zip(hashes, places):
+                start = at >> 10
+                piece = raw[start : start + (at >> 1 & 511) + LENGTH - 1]
+                for c, v in zip(cols, (h, doc_id, variant, start, *_digest(piece), piece)):
+                    c.append(v)
             if len(cols[0]) > 20_000:
                 yield out()
     yield out()
@@ -225,7 +248,7 @@ def repeated_windows(pieces: list[bytes]) -> np.ndarray:
     return out
 
 
-_SPANS = "doc_id bigint, variant int, s int, e int"
+_SPANS = "doc_id bigint, variant bigint, s bigint, e bigint"
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -245,67 +268,70 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": of("doc_id"), "variant": of("variant"), "s": base + within[at[first]], "e": base + within[at[last]] + LENGTH})
 
 
-_WINDOWS = "digest binary, doc_id bigint, variant int, s int"
+_WINDOWS = "d0 bigint, d1 bigint, doc_id bigint, variant bigint, start bigint"
 
 
 def _each_window(batches):
-    digest = hashlib.blake2b
-    cols: tuple[list, ...] = ([], [], [], [])
+    cols: tuple[list, ...] = ([], [], [], [], [])
 
     def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["digest", "doc_id", "variant", "s"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d0", "d1", "doc_id", "variant", "start"])
         for c in cols:
             c.clear()
         return batch
 
     for batch in batches:
         for doc_id, variant, start, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "start", "piece"))):
-            n = len(piece) - LENGTH + 1
-            cols[0].extend(digest(piece[i : i + LENGTH], digest_size=16).digest() for i in range(n))
-            cols[1].extend([doc_id] * n)
-            cols[2].extend([variant] * n)
-            cols[3].extend(range(start, start + n))
+            for i in range(len(piece) - LENGTH + 1):
+                for c, v in zip(cols, (*_digest(piece[i : i + LENGTH]), doc_id, variant, start + i)):
+                    c.append(v)
             if len(cols[0]) > 50_000:
                 yield out()
     yield out()
 
 
+def _later(digested: DataFrame) -> DataFrame:
+    """Of the rows (d0, d1, place and others) those that are not the first in place of their digest."""
+    # Minima and counts combine where the rows are; a common digest meets its rows by broadcast.
+    firsts = digested.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where(F.col("n") > 1)
+    firsts = materialise(firsts, "firsts")
+    return join_on_common(digested, firsts, ["d0", "d1"], "n", digested.count()).where(F.struct(*_PLACE) != F.col("first")).drop("first")
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, variant, spans: per document with repeats, the [s, e) byte ranges covered by strings that stand earlier too. documents: doc_id, variant, text."""
     texts = documents.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     found = texts.select("doc_id", "variant", "text").mapInArrow(_find_runs, _RUNS)
-    copies = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    live = found.withColumn("copies", copies).where((F.col("copies") > 1) | (F.col("at") % 2 == 1)).drop("copies")
+    stands_for = F.col("at") == 0
+    copies = F.sum(F.when(stands_for, 2).otherwise(1)).over(Window.partitionBy("h", "salt"))
+    live = found.withColumn("copies", copies).where(~stands_for & ((F.col("salt") >= 0) | (F.col("copies") > 1) | (F.col("at") % 2 == 1))).drop("copies", "salt")
     live = materialise(live, "runs")
-    per_text = live.groupBy("doc_id", F.shiftright("at", 41).cast("int").alias("variant")).agg(F.collect_list("h").alias("hashes"), F.collect_list("at").alias("places"))
+    per_text = live.groupBy("doc_id", "variant").agg(F.collect_list("h").alias("hashes"), F.collect_list("at").alias("places"))
     # Written once: the shuffle of the texts can go before the pieces are dealt out in turn.
     pieces = materialise(texts.select("doc_id", "variant", "text").join(per_text, ["doc_id", "variant"]).mapInArrow(_cut_pieces, _PIECES), "pieces")
-    # Equal pieces meet by their hash and their text; the first in place goes on.
-    same = Window.partitionBy("h", "piece").orderBy("doc_id", "variant", "start")
     discard(live)
-    ranked = materialise(_ranked(pieces, same), "first-pieces")
+    later = materialise(_later(pieces.select("d0", "d1", *_PLACE, F.octet_length("piece").alias("size"))).select(*_PLACE, "size"), "later")
+    firsts = materialise(pieces.join(later.select(*_PLACE), _PLACE, "left_anti").select("h", *_PLACE, "piece"), "first-pieces")
     discard(pieces)
-    firsts = ranked.where("nth = 1")
     large = materialise(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_PIECES).select("h"), "large")
-    alone = None
-    if not large.isEmpty():
-        windows = firsts.join(large, "h", "left_semi").select("doc_id", "variant", "start", "piece").mapInArrow(_each_window, _WINDOWS)
-        place = Window.partitionBy("digest").orderBy("doc_id", "variant", "s")
-        later = windows.withColumn("nth", F.rank().over(place)).where("nth > 1")
-        alone = later.select("doc_id", "variant", "s", (F.col("s") + LENGTH).alias("e"))
-        firsts = firsts.join(large, "h", "left_anti")
+    alone, n_large = None, large.count()
+    if n_large:
+        sent = F.broadcast(large) if n_large <= SENT_HASHES else large
+        windows = materialise(firsts.join(sent, "h", "left_semi").select(*_PLACE, "piece").mapInArrow(_each_window, _WINDOWS), "windows")
+        alone = _later(windows).select("doc_id", "variant", F.col("start").alias("s"), (F.col("start") + LENGTH).alias("e"))
+        firsts = firsts.join(sent, "h", "left_anti")
     buckets = max(1, -(-firsts.count() // BUCKET_PIECES))
-    sorted_ = firsts.select("doc_id", "variant", "start", "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
-    whole = ranked.where("nth > 1").select("doc_id", "variant", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
+    sorted_ = firsts.select(*_PLACE, "piece", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), _SPANS)
+    whole = later.select("doc_id", "variant", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
     covered = materialise(sorted_.union(whole) if alone is None else sorted_.union(whole).union(alone), "spans")
-    discard(ranked)
     return covered.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def _ranked(pieces: DataFrame, same) -> DataFrame:
-    """nth and size; only first pieces keep their text."""
-    ranked = pieces.withColumn("size", F.octet_length("piece")).withColumn("nth", F.rank().over(same))
-    return ranked.withColumn("piece", F.when(F.col("nth") == 1, F.col("piece")))
+def _variants(documents: DataFrame) -> DataFrame:
+    """doc_id, text and variant: 0, or where some id has several texts a hash of the text."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = documents.groupBy("doc_id").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).where(F.col("a") != F.col("b"))
+    return documents.select("doc_id", "text", (F.lit(0).cast("bigint") if several.isEmpty() else text_hash).alias("variant"))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -326,7 +352,7 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int,
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
-    rows = documents.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(VARIANTS)).cast("int").alias("variant"))
+    rows = _variants(documents.select("doc_id", "text"))
     spans = repeated_spans(rows)
 
     def run(batches):
