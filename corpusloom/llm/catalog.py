@@ -7,7 +7,7 @@ from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .mixing import op7_mixing
 from .packing import op4_token_packing
 from .quality_classifier import op2_quality_classifier
-from .quality_rules import op10_quality_rules
+from .quality_rules import OP10_SQL, op10_quality_rules
 from .secret_scan import op3_secret_scan
 from .suffix_dedup import OP9_SQL, op9_suffix_dedup
 from .url_filter import op8_url_filter
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_suffix_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op9_suffix_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
