@@ -6,8 +6,8 @@ A rule (host, path, verdict) fits its host and that host's subdomains where the
 starts with the rule's; the longest fitting rule decides (of equally long ones the first in
 the alphabet). Where none fits, the model does: block at a probability of ``threshold`` or more.
 
-The model is trained on the driver from a small labelled url table (at most ``MAX_LABELLED`` rows, checked);
-its weights have a fixed size. Pages are judged in one map. Repeated pages are judged each on their own; an
+The model is trained on the driver from a small labelled url table, by default url_labels, written by hand (at most ``MAX_LABELLED`` rows, checked);
+its weights have a fixed size. Pages are judged in one map, and by the model only where no rule decides. Repeated pages are judged each on their own; an
 empty table gives no rows; without labelled urls of both classes the model allows everything.
 """
 
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_labels
 from .common import table
 
 BITS = 15
@@ -36,21 +37,6 @@ RULES = (
     ("net/fr/", "block"),
 )
 
-_BAD = (("adult", "casino", "cheap", "ads", "spam", "free", "win", "hot", "buy", "fake", "click", "loan"), ("x", "win", "pills", "track", "farm", "bets", "cash", "singles", "likes", "cams", "bait", "now"))
-_GOOD = (("city", "open", "old", "science", "home", "free", "school", "daily"), ("library", "maps", "news", "garden", "history", "weather", "recipes", "journal"))
-_SYLLABLES = ("th", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default labels, built by rule; 1 is block. Names of two words in either class, and names of
-    common syllables in the good one, stand in the same frames, so that the frame says nothing."""
-    names = [(f"{a}-{b}", 1) for a in _BAD[0] for b in _BAD[1]] + [(f"{a}-{b}", 0) for a in _GOOD[0] for b in _GOOD[1]]
-    names += [("".join(_SYLLABLES[(i * k + k) % 16] for k in (1, 3, 5)[: 2 + i % 2]), 0) for i in range(96)]
-    out = [("", 0)]
-    for i, (name, label) in enumerate(names):
-        out.append((f"http{'s' * (i % 2)}://{('www.', 'm.', 'blog.', '')[i % 4]}{name}.example.{('com', 'org', 'net')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{i * 37}{('', '/', '.html')[i % 3]}", label))
-    return out
-
 
 def host(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,7 +77,7 @@ def features(host_: str, path_: str, bits: int = BITS) -> np.ndarray:
     return np.array(sorted({xxhash.xxh32_intdigest(g) >> (32 - bits) for g in found}), np.int64)
 
 
-def fit(labelled: list[tuple[str, int]], bits: int = BITS, penalty: float = 1e-5, rounds: int = 400, rate: float = 20.0) -> np.ndarray:
+def fit(labelled: list[tuple[str, int]], bits: int = BITS, penalty: float = 1e-4, rounds: int = 400, rate: float = 20.0) -> np.ndarray:
     """Weights with the bias last, by full-batch gradient steps on the L2-penalised log loss; classes weigh the same."""
     w = np.zeros((1 << bits) + 1)
     y = np.array([label for _, label in labelled], float)
@@ -118,9 +104,9 @@ def probability(w: np.ndarray, host_: str, path_: str, bits: int = BITS) -> floa
 
 
 def judge(pages: DataFrame, labelled: DataFrame | list[tuple[str, int]] | None = None, rules: Iterable[tuple[str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, probability. labelled: (url, label), 1 for block."""
+    """page_id, host, path, rule, verdict, probability (null where a rule decides). labelled: (url, label), 1 for block."""
     if labelled is None:
-        labelled = labelled_urls()
+        labelled = url_labels.labelled()
     elif isinstance(labelled, DataFrame):
         got = labelled.select("url", "label").where(F.col("label").isin(0, 1)).limit(MAX_LABELLED + 1).collect()
         labelled = [(r["url"], int(r["label"])) for r in got]
@@ -128,14 +114,15 @@ def judge(pages: DataFrame, labelled: DataFrame | list[tuple[str, int]] | None =
         raise ValueError(f"more than {MAX_LABELLED} labelled urls: give a smaller table")
     sent = pages.sparkSession.sparkContext.broadcast(fit(sorted(labelled, key=lambda x: (x[0] or "", x[1]))).astype(np.float32))
 
-    def run(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([probability(sent.value, h, p) for h, p in zip(hosts, paths)], dtype="float64")
+    def run(hosts: pd.Series, paths: pd.Series, decided: pd.Series) -> pd.Series:
+        return pd.Series([None if known else probability(sent.value, h, p) for h, p, known in zip(hosts, paths, decided)], dtype="float64")
 
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("probability", F.pandas_udf(run, "double")("host", "path"))
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict)
+    rows = rows.withColumn("probability", F.pandas_udf(run, "double")("host", "path", F.col("rule").isNotNull()))
     by_model = F.when(F.col("probability") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "probability")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "probability")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
