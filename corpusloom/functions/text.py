@@ -190,23 +190,65 @@ def noise_score(block_type: Column, n_chars: Column, min_lm_chars: int = 30) ->
     return F.round(raised, 4), reason
 
 
-_PANEL = r"(?i)^(?:(?:[(\[][a-zа-яё][)\]]|[a-zа-яё][)\].])(?:\s*(?:[(\[][a-zа-яё][)\]]|[a-zа-яё][)\].]))*|(?:fig(?:ure)?|рис(?:унок)?)\.?\s*[0-9IVXLC]+(?:\.[0-9]+)*)\s*$"
-_TICK = r"(?i)^(?:[0-9]+(?:[.,][0-9]+)?\s*(?:°C|°С|min|мин|h|ч|wt%|мас\.?\s*%|%)?|[A-Z][a-z]?\s*(?:wt%|мас\.?\s*%|%))\s*$"
+#: Words before a figure's number, and units behind the number of an axis tick; a spaced percent counts as one (fixed values).
+FIGURE_WORDS = ("fig", "figure", "рис", "рисунок")
+TICK_UNITS = ("", "°c", "°с", "min", "мин", "h", "ч", "%", "wt%", "мас%", "мас.%")
+SHARES = ("%", "wt%", "мас%", "мас.%")
+
+
+def _only_panels(t: Column) -> Column:
+    """Nothing but panel letters: in brackets, or with a bracket or point behind them."""
+    solid = F.lower(F.regexp_replace(t, r"\s", ""))
+    left = F.regexp_replace(F.regexp_replace(solid, r"[(\[][a-zа-яё][)\]]", ""), r"[a-zа-яё][)\].]", "")
+    return (solid != "") & (left == "")
+
+
+def _figure_number(t: Column) -> Column:
+    """A word for figure, perhaps shortened, and a number of digits or Roman numerals with digits behind points."""
+    word = F.regexp_extract(F.lower(t), r"^(\p{L}+)", 1)
+    known = F.array_max(F.transform(F.array(*[F.lit(w) for w in FIGURE_WORDS]), lambda w: F.when(F.startswith(word, w), F.char_length(w)).otherwise(0)))
+    rest = F.lower(F.regexp_replace(F.substr(t, known + 1), r"^\.?\s*", ""))
+    return (known > 0) & rest.rlike(r"^[0-9ivxlc]+(\.[0-9]+)*$")
+
+
+def _tick(t: Column) -> Column:
+    """A number with or without a unit, or an element's share."""
+    number, element = F.regexp_extract(t, r"^([0-9]+(?:[.,][0-9]+)?)", 1), F.regexp_extract(t, r"^([A-Za-z]{1,2})(?![A-Za-z]*[a-z]%)", 1)
+    unit = lambda head: F.lower(F.regexp_replace(F.substr(t, F.char_length(head) + 1), r"\s", ""))
+    return ((number != "") & unit(number).isin(*TICK_UNITS)) | ((element != "") & unit(element).isin(*SHARES))
 
 
 def caption_only(c: Column | str, max_chars: int = 40) -> Column:
-    """A caption without content: a panel letter, a figure number, an axis tick, or a short text without a word of 4 letters."""
+    """A caption without content: panel letters, a figure number, an axis tick, or a short text without a word of 4 letters."""
     t = F.trim(text_or_empty(c))
     n = F.char_length(t)
-    return (n <= 2) | t.rlike(_PANEL) | t.rlike(_TICK) | ((n < max_chars) & ~t.rlike(r"[A-Za-zА-Яа-яЁё]{4,}"))
+    return (n <= 2) | _only_panels(t) | _figure_number(t) | _tick(t) | ((n < max_chars) & ~t.rlike(r"[A-Za-zА-Яа-яЁё]{4,}"))
+
+
+#: Endings that a search term loses, the first that fits (fixed values).
+RUSSIAN_ENDINGS = "иями ями ами ией ой ий ый ое ее ие ов ев ей ом ем ах ях ию ью ия ья ть ти ла ли ло ся".split()
+ENGLISH_ENDINGS = "ing ers ies ied ed es s".split()
+
+
+def stem(word: str) -> str:
+    """The word in lower case without one ending, if it has more than 4 letters and 4 stay."""
+    w = word.lower()
+    endings = RUSSIAN_ENDINGS if any("а" <= c <= "я" or c == "ё" for c in w) else ENGLISH_ENDINGS
+    fitting = (e for e in endings if w.endswith(e) and len(w) - len(e) >= 4)
+    return w.removesuffix(next(fitting, "")) if len(w) > 4 else w
 
 
 def light_stem(word: Column) -> Column:
-    """Cuts one common Russian or English ending from words of more than 4 letters, leaving 4 at least."""
-    russian = r"(?:иями|ями|ами|ией|ой|ий|ый|ое|ее|ие|ая|яя|ов|ев|ей|ах|ях|ам|ям|ом|ем|ы|и|а|я|о|е|у|ю)$"
-    english = r"(?:ations?|ings?|ness|ments?|ies|ed|es|ly|s)$"
-    cut = F.when(word.rlike("[а-яё]"), F.regexp_replace(word, rf"(?<=.{{4}}){russian}", "")).otherwise(F.regexp_replace(word, rf"(?<=.{{4}}){english}", ""))
-    return F.when(F.char_length(word) > 4, cut).otherwise(word)
+    """stem() as an expression."""
+    w = F.lower(word)
+
+    def cut(endings: list[str]) -> Column:
+        out = w
+        for e in reversed(endings):
+            out = F.when(w.endswith(e) & (F.char_length(w) >= len(e) + 4), F.left(w, F.char_length(w) - len(e))).otherwise(out)
+        return out
+
+    return F.when(F.char_length(w) <= 4, w).when(w.rlike("[а-яё]"), cut(RUSSIAN_ENDINGS)).otherwise(cut(ENGLISH_ENDINGS))
 
 
 def token_count(c: Column | str) -> Column:

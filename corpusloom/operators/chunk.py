@@ -18,8 +18,10 @@ from ..functions.tables import parse_table_html, row_sentence
 from ..functions.units import extract_units
 from ..schemas import CHUNKS, names
 
-_LEAD_IN = re.compile(r"табл|table", re.I)
-_LEGEND = re.compile(r"^\s*(?:где|здесь|where|here)\b", re.I)
+#: Words that open a legend, and words that lead to a table when a number or Roman numeral follows (fixed values).
+LEGEND_WORDS = ("where", "here", "with", "где", "здесь", "причём", "причем")
+TABLE_WORDS, TABLE_NUMERALS = ("table", "табл", "таблица"), "ivxlлc0123456789"
+SHOWN_IN = (("shown", "in", "table"), ("приведен", "в", "табл"))
 _WORD4 = re.compile(r"[A-Za-zА-Яа-яЁё]{4,}")
 
 
@@ -53,6 +55,32 @@ def sentences(text: str, budget: int) -> list[str]:
     return out
 
 
+def is_lead_in(text: str | None) -> bool:
+    """Prose that names a table: the word with its number, or a phrase that shows something in a table."""
+    words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    for i, w in enumerate(words):
+        number = w[len(word) :] if (word := max((x for x in TABLE_WORDS if w.startswith(x)), key=len, default="")) else ""
+        if word and (number[:1] or (words[i + 1][:1] if not number and i + 1 < len(words) else " ")) in TABLE_NUMERALS:
+            return True
+        a, b, c = (words[i : i + 3] + ["", "", ""])[:3]
+        if (a, b, c) == SHOWN_IN[0] or (a[:-1] == SHOWN_IN[1][0] and a[-1:] in ("а", "о", "ы") and b == SHOWN_IN[1][1] and c.startswith(SHOWN_IN[1][2])):
+            return True
+    return False
+
+
+def is_long_prose(text: str) -> bool:
+    return len(text) > 240 or sum(text.count(c) for c in ".!?") >= 2
+
+
+def is_legend(row: dict) -> bool:
+    """An explanation of symbols: it opens with a word of legends, holds text set in a formula, or is a short definition."""
+    t = (row["text"] or "").strip()
+    first = next(iter("".join(c if c.isalnum() or c == "_" else " " for c in t.lower()).split(" ")), "")
+    if not t or row["type"].startswith("Formula"):
+        return False
+    return first in LEGEND_WORDS or "\\text{" in (row.get("formula_latex") or "") or ("=" in t and not is_long_prose(t))
+
+
 def atoms(rows: list[dict]) -> list[dict]:
     """Indivisible pieces: a table takes the lead-in before it; a formula the prose before it and the formulas and legends after it."""
     out: list[dict] = []
@@ -66,7 +94,7 @@ def atoms(rows: list[dict]) -> list[dict]:
         if is_heading(row):
             out.append({"kind": "heading", "rows": [row]})
         elif kind == "Table":
-            lead = out.pop()["rows"] if last and last["kind"] == "prose" and _LEAD_IN.search(last["rows"][-1]["text"] or "") else []
+            lead = out.pop()["rows"] if last and last["kind"] == "prose" and is_lead_in(last["rows"][-1]["text"]) else []
             out.append({"kind": "table", "rows": [*lead, row]})
         elif kind.startswith("Formula"):
             if last and last["kind"] == "formula":
@@ -74,7 +102,7 @@ def atoms(rows: list[dict]) -> list[dict]:
             else:
                 lead = out.pop()["rows"] if last and last["kind"] == "prose" else []
                 out.append({"kind": "formula", "rows": [*lead, row]})
-        elif last and last["kind"] == "formula" and _LEGEND.match(t):
+        elif last and last["kind"] == "formula" and is_legend(row):
             last["rows"].append(row)
         elif kind == "FigureCaption":
             out.append({"kind": "figure", "rows": [row]})

@@ -91,7 +91,7 @@ def merge_rule(a: dict, b: dict, height: float, cfg: CleanConfig = CLEAN) -> str
         return None
     low = next((c.islower() for c in tb if c.isalpha()), False)
     open_end = ta[-1] not in _TERMINAL
-    if ta[-1] in _HYPHENS and len(ta) > 1 and ta[-2].isalpha() and low and b["page"] - a["page_max"] in (0, 1):
+    if ta[-1] in _HYPHENS and low:  # on any page: a word torn apart is never meant so
         return "hyphen"
     fragment = any(x["type"] == "UncategorizedText" or (x["type"] in MERGEABLE_TYPES and len(x["text_out"]) <= cfg.fragment_max_chars) for x in (a, b))
     boxed = all(not pd.isna(x[c]) for x in (a, b) for c in ("x0", "top", "x1", "bottom"))
@@ -100,8 +100,9 @@ def merge_rule(a: dict, b: dict, height: float, cfg: CleanConfig = CLEAN) -> str
             return None
         v = min(a["bottom"], b["bottom"]) - max(a["top"], b["top"])
         if v / max(1e-6, min(a["bottom"] - a["top"], b["bottom"] - b["top"])) >= cfg.same_line_overlap:
-            width = (a["x1"] - a["x0"]) / max(1, len(ta))
-            return "same_line" if b["x0"] - a["x1"] <= cfg.same_line_gap * max(width, 1e-6) else None
+            width = max((x["x1"] - x["x0"]) / max(1, len(x["text_out"])) for x in (a, b))
+            if width > 0 and 0 <= b["x0"] - a["x1"] <= cfg.same_line_gap * width:
+                return "same_line"
         gap, h = b["top"] - a["bottom"], min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
         near = -height <= gap <= cfg.paragraph_gap * height
         over = h / max(1e-6, min(a["x1"] - a["x0"], b["x1"] - b["x0"])) >= cfg.paragraph_overlap

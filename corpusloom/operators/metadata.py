@@ -25,17 +25,34 @@ def topic_of(doc_id: Column) -> Column:
     return F.when(doc_id.contains("__"), F.substring_index(doc_id, "__", 1)).otherwise("")
 
 
+#: Words of a document's name that make it a standard or a book, in any case (fixed values).
+STANDARD_WORDS, BOOK_WORDS = ("итс", "гост", "iso"), ("book",)
+#: Types of the blocks whose years count, and the last year that can be one (fixed values).
+YEAR_TYPES, LAST_YEAR = ("Header", "Footer", "Title", "NarrativeText"), 2026
+
+
 def document_type(doc_id: Column) -> Column:
-    t = F.lower(doc_id)
-    return F.when(t.rlike("гост|gost|iso|astm|din"), "standard").when(t.rlike("патент|patent"), "patent").when(t.rlike("учебн|textbook|handbook|справоч"), "book").otherwise("article")
+    """standard, book or article, by whole words of the name; an underscore joins words."""
+    words = F.split(F.lower(F.coalesce(doc_id, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    has = lambda names: F.arrays_overlap(words, F.array(*[F.lit(n) for n in names]))
+    return F.when(has(STANDARD_WORDS), "standard").when(doc_id.contains("Книги") | has(BOOK_WORDS), "book").otherwise("article")
+
+
+def name_year(doc_id: Column) -> Column:
+    """The last year in a document's name; that of a standard's number (``ИТС 12-2019``) counts after the others."""
+    of_standard = F.transform(F.regexp_extract_all(X.text_or_empty(doc_id), F.lit(r"(?i)ИТС\s+[0-9]+[-–]([0-9]{4})"), F.lit(1)), lambda y: y.cast("int"))
+    return F.try_element_at(F.filter(F.concat(years(doc_id), of_standard), lambda y: y.between(1900, LAST_YEAR)), F.lit(-1))
 
 
-def year_vote(blocks: DataFrame, first_pages: int = 2, low: int = 1900, high: int = 2035) -> DataFrame:
-    """doc_id, year: the most frequent year of the first pages; of equal counts the one seen first."""
-    seen = blocks.where(F.col("page") <= first_pages).select("doc_id", "order", F.posexplode(years(F.col("text"))).alias("at", "year")).where(F.col("year").between(low, high))
-    counts = seen.groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "at")).alias("first"))
+def year_vote(blocks: DataFrame, first_pages: int = 3) -> DataFrame:
+    """doc_id, year: the last year of the document's name; without one the most frequent year of the first pages, of equal counts the one seen first."""
+    kind = F.col("type").isin(*YEAR_TYPES) if "type" in blocks.columns else F.lit(True)
+    rows = blocks.withColumn("_named", name_year(F.col("doc_id").cast("string")))
+    named = rows.where(F.col("_named").isNotNull()).groupBy("doc_id").agg(F.first("_named").alias("year"))
+    seen = rows.where(F.col("_named").isNull() & (F.col("page") <= first_pages) & kind).select("doc_id", "order", F.posexplode(years(F.col("text"))).alias("at", "year"))
+    counts = seen.where(F.col("year").between(1900, LAST_YEAR)).groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "at")).alias("first"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "year")
+    return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "year").unionByName(named)
 
 
 def first_titles(blocks: DataFrame) -> DataFrame:

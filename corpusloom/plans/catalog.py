@@ -307,21 +307,34 @@ def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.withColumn("h", header).select("doc_id", "line", F.size("h").alias("n_cells"), F.get("h", F.lit(0)).alias("first_cell"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * 1000, 3) AS si_value, 'kg' AS canonical FROM lineitem""")
+_UNIT_CASES = "('t', 'kg', 1000.0), ('kg', 'kg', 1.0), ('mm', 'm', 0.001), ('кДж', 'J', 1000.0), ('MPa', 'Pa', 1000000.0), ('min', 's', 60.0), ('°C', 'degC', 1.0), ('kJ/mol', 'J/mol', NULL), ('м', 'm', 1.0)"
+
+
+@query(f"""WITH u AS (SELECT * FROM (VALUES {_UNIT_CASES}) v(unit, canonical, factor)), n AS (SELECT *, row_number() OVER () - 1 AS k FROM u)
+  SELECT l_orderkey, l_linenumber, unit, canonical, round(l_quantity * CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END * factor, 6) AS si_value, CAST(2 AS INTEGER) AS n_found
+  FROM lineitem JOIN n ON k = CAST(l_orderkey % 9 AS BIGINT)""")
 def measurement_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities written as tonnes in a sentence, read back in SI units."""
+    """Quantities in nine units, half of them with a power of ten, in a sentence with a second measurement and things that are none; read back in SI units."""
     li = table(spark, sf_dir, "lineitem")
-    said = F.concat(F.lit("mass of "), F.regexp_replace(F.col("l_quantity").cast("decimal(12,2)").cast("string"), r"\.", ","), F.lit(" t, shipped"))
-    m = F.get(units.extract_units(said), F.lit(0))
-    return li.withColumn("m", m).select("l_orderkey", "l_linenumber", F.round("m.si_value", 3).alias("si_value"), "m.canonical")
+    unit = F.get(F.array(*[F.lit(u) for u in ("t", "kg", "mm", "кДж", "MPa", "min", "°C", "kJ/mol", "м")]), (F.col("l_orderkey") % 9).cast("int"))
+    power = F.when(F.col("l_linenumber") % 2 == 0, "·10^{2}").otherwise("")
+    said = F.concat(F.lit("lot v12 m of "), F.regexp_replace(F.col("l_quantity").cast("decimal(12,2)").cast("string"), r"\.", ","), power, F.lit(" "), unit, F.lit(", item 7.5.1 m, then 5 kg of 3 mmm"))
+    found = units.extract_units(said)
+    li = li.withColumn("found", found).withColumn("m", F.get("found", F.lit(0)))
+    return li.select("l_orderkey", "l_linenumber", "m.unit", "m.canonical", F.round("m.si_value", 6).alias("si_value"), F.size("found").alias("n_found"))
+
+
+_FORMULA_CASES = "('Fe2O3', 'oxide'), ('H2SO4', 'acid'), ('O2', 'simple_substance'), ('Ca(OH)2', 'base_other'), ('NaCl', 'salt'), ('CuSO4', 'salt'), ('NH3', 'base_other'), ('SiO2', 'oxide'), ('HCl', 'acid'), ('Fe₃O₄', 'oxide'), ('Al2(SO4)3', 'salt')"
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'oxide' WHEN p_size % 3 = 1 THEN 'acid' ELSE 'simple_substance' END AS formula_class FROM part""")
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_FORMULA_CASES}) v(formula, formula_class)), n AS (SELECT *, row_number() OVER () - 1 AS k FROM c)
+  SELECT p_partkey, formula, formula_class FROM part JOIN n ON k = CAST(p_partkey % 11 AS BIGINT)""")
 def chemistry_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven formulas among words, stop words and symbols that are none."""
     p = table(spark, sf_dir, "part")
-    said = F.concat(F.lit("in "), F.when(F.col("p_size") % 3 == 0, "Fe2O3").when(F.col("p_size") % 3 == 1, "H2SO4").otherwise("O2"), F.lit(" was found"))
-    found = F.filter(chem.formula_strings(said), chem.is_valid_formula)
-    return p.select("p_partkey", F.explode(found).alias("f")).select("p_partkey", chem.formula_class(F.col("f")).alias("formula_class"))
+    f = F.get(F.array(*[F.lit(x) for x in ("Fe2O3", "H2SO4", "O2", "Ca(OH)2", "NaCl", "CuSO4", "NH3", "SiO2", "HCl", "Fe₃O₄", "Al2(SO4)3")]), (F.col("p_partkey") % 11).cast("int"))
+    said = F.concat(F.lit("IN the ore of lot "), F.col("p_size").cast("string"), F.lit(" OF "), f, F.lit(" was found, NO other, see II and 1200"))
+    return p.select("p_partkey", F.explode(chem.formulas(said)).alias("f")).where("f.valid").select("p_partkey", "f.formula", F.col("f.kind").alias("formula_class"))
 
 
 # Retrieval.

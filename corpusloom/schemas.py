@@ -44,3 +44,4 @@ HITS = "query_id bigint, channel string, unit_id string, rank int, score double"
 def names(ddl: str) -> list[str]:
     """Column names of a flat schema."""
     return [c.split()[0].strip("`") for c in ddl.split(", ")]
+FORMULAS = T.ArrayType(struct(formula=STRING, valid=BOOLEAN, kind=STRING))

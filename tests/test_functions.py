@@ -50,9 +50,9 @@ def test_chemistry():
 
 
 def test_formulas_in_text(spark):
-    found = F.filter(chem.formula_strings(F.col("t")), chem.is_valid_formula)
+    found = F.transform(F.filter(chem.formulas(F.col("t")), lambda x: x.valid), lambda x: x.formula)
     assert column(spark, ["ore of Fe2O3 and CuSO4", "IN THE END", ""], found) == [["Fe2O3", "CuSO4"], [], []]
-    assert column(spark, ["Fe2O3", "H2SO4", "Ca(OH)2", "NaCl", "O2"], chem.formula_class(F.col("t"))) == ["oxide", "acid", "base_other", "salt", "simple_substance"]
+    assert column(spark, ["Fe2O3", "H2SO4", "Ca(OH)2", "NaCl", "O2"], F.get(chem.formulas(F.col("t")), F.lit(0)).kind) == ["oxide", "acid", "base_other", "salt", "simple_substance"]
     assert column(spark, ["Fe2O3 + 3CO = 2Fe + 3CO2, 25 kJ", "no reaction here"], chem.reactions(F.col("t"))) == ["Fe₂O₃ + 3CO = 2Fe + 3CO₂", None]
 
 
@@ -73,11 +73,42 @@ def test_units():
     assert units.numeric_condition("at 5 kg") is None and units.numeric_condition(None) is None
 
 
+def test_equations_tolerate_one_other_part_in_four():
+    assert chem.is_equation("2Fe + 3CO2 = Fe2O3 + heat") and not chem.is_equation("Fe2O3 = heat") and not chem.is_equation("Fe2O3 + x1y = w + CO2")
+    assert chem.parse_equation("Fe^{3+} + SO4^2- → q") == {"species": ["Fe", "SO4"], "elements": ["Fe", "S", "O"], "junk": 1, "subscripted": True}
+    assert chem.species_of("Fe2O3(тв)") == (["Fe", "O"], True) and chem.species_of("Xx2") is None and chem.species_of("Co") == (["Co"], False)
+
+
+def test_flat_formulas_keep_powers():
+    assert latex.flatten("x^{2}+y_{i}") == "x^2+yi" and latex.flatten(r"\frac{m_{a}}{n^{2}}") == "(ma)/(n^2)"
+    assert latex.flatten(r"\mathrm{H}_{2}\mathrm{O}") == "H2O" and latex.notation(r"\left( a \right) \quad \mathbf{\mathrm{b}}") == "( a ) b"
+
+
+def test_units_in_every_form():
+    got = [(m["unit"], m["canonical"], m["text"]) for m in units.measurements("5 кДж / моль2, 7,5·10^-3 мм; 3.1.2 m, 4 мкмоль 12кг 6 m/s²")]
+    assert got == [("кДж / моль2", "J/mol2", "5 кДж / моль2"), ("мм", "m", "7,5·10^-3 мм"), ("кг", "kg", "12кг"), ("m", "m", "6 m")]
+
+
+def test_cues_are_whole_words():
+    assert units.numeric_condition("водород 1200 кг") is None and units.numeric_condition("mass over 5 kg")["op"] == "gte"
+    assert units.numeric_condition("до 5 кг") == {"canonical": "kg", "op": "lte", "value": 5.0} and units.numeric_condition("coverage 5 kg") is None
+    assert units.numeric_condition("exceeding 2 t")["value"] == 2000.0 and units.numeric_condition("at least 2 t")["op"] == "gte"
+
+
 def test_terms():
-    assert tokenizer.terms("Fe2O3 reduction at 2,5 kJ/mol") == ["fe2o3", "fe", "o", "reduct", "at", "2.5", "kj/mol"] or "fe2o3" in tokenizer.terms("Fe2O3 reduction")
+    assert tokenizer.terms("Fe2O3 reductions at 2,5 kJ/mol") == ["fe2o3", "fe", "o", "reduction", "at", "2,5", "kj/mol"]
+    assert tokenizer.terms("Fe2O3·FeO") == ["fe2o3", "fe", "o", "feo", "fe", "o"] and tokenizer.subterms("Fe2O3·FeO") == ["fe", "o"]
+    assert tokenizer.terms("ГОСТ 12.1-2019, [3.4] 5 мас. %") == ["гост12.1-2019", "[3.4]", "5", "мас%"]
+    assert tokenizer.terms("Fe/SiO2 3·10^-4") == ["fe/sio2", "fe", "si", "o", "3·10^-4"]
     assert tokenizer.terms(None) == []
 
 
+def test_stems(spark):
+    words = ["printing", "boxes", "bed", "реакциями", "печью", "cities", "столы", "Played"]
+    assert [X.stem(w) for w in words] == ["print", "boxe", "bed", "реакц", "печью", "citi", "столы", "play"]
+    assert column(spark, words, X.light_stem(F.col("t"))) == [X.stem(w) for w in words]
+
+
 def test_tables(spark):
     html = "<table><thead><tr><th>a</th><th></th></tr></thead><tr><td>x</td><td> 1 <br>2</td><td>z</td></tr><tr><td></td></tr></table>"
     assert tables.parse(html) == (["a", "", ""], [["x", "1 2", "z"]])

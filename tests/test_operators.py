@@ -282,3 +282,34 @@ def test_seeds_frames_and_hits(spark):
     assert graph.frame_text(json.dumps({"text": "a", "frame": [{"mask": {"label": "b"}, "frame": [{"text": "c"}]}]})) == "a (b (c))" and graph.frame_text("{") == ""
     found = spark.createDataFrame([(7, "s", 2), (7, "t", 1), (7, "s", 3)], "query_id int, statement_id string, place int")
     assert [(r.unit_id, r["rank"]) for r in graph.graph_hits(found).orderBy("rank").collect()] == [("kg:t", 1), ("kg:s", 2)]
+
+
+def test_document_types_and_years(spark):
+    names = {"Книги__Metallurgy": "book", "ИТС 12-2019 copper": "standard", "ISO 9001": "standard", "reading notes": "article", "isolated cells": "article", "A book of slag": "book", "facebook": "article"}
+    rows = spark.createDataFrame([(n,) for n in names], "doc_id string")
+    assert {r.doc_id: r.t for r in rows.select("doc_id", metadata.document_type(F.col("doc_id")).alias("t")).collect()} == names
+    blocks = [("ИТС 12-2019 copper", 1, 1, "Title", "of 1999"), ("x 1987 y 2001", 1, 1, "Title", ""), ("a", 1, 1, "Table", "1990 1990"), ("a", 3, 2, "Footer", "2004 and 2005"), ("a", 4, 3, "Title", "2005"), ("b", 1, 1, "Title", "2031 1850")]
+    df = spark.createDataFrame(blocks, "doc_id string, page int, `order` int, type string, text string")
+    assert {r.doc_id: r.year for r in metadata.year_vote(df).collect()} == {"ИТС 12-2019 copper": 2019, "x 1987 y 2001": 2001, "a": 2004}
+
+
+def test_routes():
+    kinds = lambda q: retrieval.route(q)["kinds"]
+    assert kinds("a stable process") == ["text"] and kinds("the table of contents") == ["table", "text"] and kinds("slag of Fe2O3") == ["chemistry", "text"]
+    assert kinds("x_i = 3") == ["math", "text"] and kinds("over 5 kg of matte") == ["chemistry", "unit", "text"] and kinds(None) == ["text"]
+    assert retrieval.route("over 5 kg")["filters"] == {"numeric": {"canonical": "kg", "op": "gte", "value": 5.0}, "unit_type": "quantity"}
+
+
+def test_merge_rules_of_the_contract():
+    box = {"type": "NarrativeText", "x0": 0.0, "x1": 100.0, "top": 0.0, "bottom": 10.0}
+    a = box | {"text_out": "an inter-", "page": 1, "page_max": 1}
+    assert clean.merge_rule(a, box | {"text_out": "national one", "page": 9}, 10.0) == "hyphen"
+    left, right = box | {"text_out": "x" * 10, "page_max": 1, "page": 1, "type": "UncategorizedText"}, box | {"text_out": "Y" * 20, "page": 1, "type": "UncategorizedText"}
+    assert clean.merge_rule(left, right | {"x0": 120.0, "x1": 220.0}, 10.0) == "same_line" and clean.merge_rule(left, right | {"x0": 90.0, "x1": 190.0}, 10.0) is None
+
+
+def test_lead_ins_and_legends():
+    assert chunk.is_lead_in("see Table IV below") and chunk.is_lead_in("as shown in table") and chunk.is_lead_in("данные приведены в табл.") and not chunk.is_lead_in("a stable one") and not chunk.is_lead_in("table of contents")
+    row = lambda t: {"text": t, "type": "NarrativeText"}
+    assert chunk.is_legend(row("with n the count")) and chunk.is_legend(row("причём x")) and chunk.is_legend(row("rho = density of copper"))
+    assert not chunk.is_legend(row("within it. all is. plain")) and not chunk.is_legend(row("a = b. And so on. More."))
