@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-YEAR = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
+YEAR = r"(?<![\p{L}\p{N}_])((?:19|20)[0-9]{2})(?![\p{L}\p{N}_])"
 AUTHOR = r"(?:[A-ZА-ЯЁ]\.\s?){1,2}[A-ZА-ЯЁ][a-zа-яё]+(?:-[A-ZА-ЯЁ][a-zа-яё]+)?|[A-ZА-ЯЁ][a-zа-яё]+\s(?:[A-ZА-ЯЁ]\.\s?){1,2}"
 
 

@@ -455,12 +455,17 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.cosine_pairs(_ratings(spark, sf_dir)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_COSINE = """r AS (SELECT event_type AS i, user_id AS u, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL), n AS (SELECT i, sqrt(sum(v * v)) AS n FROM r GROUP BY i),
+  cos AS (SELECT x.i AS a, y.i AS b, sum(x.v * y.v) / any_value(nx.n) / any_value(ny.n) AS s FROM r x JOIN r y ON x.u = y.u AND x.i < y.i JOIN n nx ON nx.i = x.i JOIN n ny ON ny.i = y.i GROUP BY x.i, y.i)"""
+
+
+@query(f"WITH {_COSINE} SELECT a, b, round(s, 9) AS similarity FROM cos ORDER BY round(s, 12) DESC, a, b LIMIT 2")
 def cosine_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.top_pairs(recommend.cosine_pairs(_ratings(spark, sf_dir)))
+    return recommend.top_pairs(recommend.cosine_pairs(_ratings(spark, sf_dir))).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COSINE}, e AS (SELECT a AS x, b AS y FROM cos WHERE s >= 0.9 UNION ALL SELECT b, a FROM cos WHERE s >= 0.9),
+  reach AS (SELECT DISTINCT i AS id, i AS c FROM r UNION SELECT e.y, reach.c FROM reach JOIN e ON e.x = reach.id) SELECT id, min(c) AS cluster FROM reach GROUP BY id""")
 def single_linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _ratings(spark, sf_dir).select(F.col("row"), "col", "value")
     pairs = recommend.cosine_pairs(cells)
