@@ -382,7 +382,7 @@ def _along(columns: DataFrame) -> DataFrame:
     """(k, c): the clusters that common columns (h, k) make of their rows."""
     heads = columns.groupBy("h").agg(F.min("k").alias("m"), F.count(F.lit(1)).alias("f"))
     tied = join_on_common(columns, heads, "h", "f", columns.count()).select(F.col("k").alias("u"), F.col("m").alias("v"))
-    return components(tied).select(F.col("id").alias("k"), F.col("comp").alias("c"))
+    return materialise(components(tied).select(F.col("id").alias("k"), F.col("comp").alias("c")), "along")
 
 
 def _block_links(many: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:

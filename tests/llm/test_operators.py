@@ -431,7 +431,9 @@ def test_jaccard_null_ids_and_empty(spark):
     assert jaccard_join.jaccard_classes(frame(spark, [])).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 3])
+def test_components_of_a_long_chain(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     edges = frame(spark, [(i, i + 1) for i in range(50)] + [(7, 7), (None, 3)], "u bigint, v bigint")
     assert {r.comp for r in components.components(edges).collect()} == {0}
 
