@@ -39,18 +39,25 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, what: str, arrow_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends in replicated files.
 
     The shuffle files of the write go with it, by Spark's own setting, as nothing refers to them any more.
+    arrow_rows: rows in one Arrow batch of the write, where rows are large (else the session's setting).
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, what), spark.conf.get(_SHUFFLE_CLEANUP)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    wanted = {_SHUFFLE_CLEANUP: "true"} | ({_ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    path, before = fresh_path(spark, what), {k: spark.conf.get(k) for k in wanted}
     try:
-        df.select("*").write.parquet(path)  # planned anew, under the setting
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        df.select("*").write.parquet(path)  # planned anew, under the settings
     finally:
-        spark.conf.set(_SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

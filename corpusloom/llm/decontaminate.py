@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 WINDOW = 10
 #: Consecutive words within which a proximity match stands.
@@ -38,6 +38,8 @@ REACH = 20
 BLOCK_WORDS = 500_000
 #: Training tokens of one index shard, closed at the next document's end.
 SHARD_TOKENS = 250_000
+#: Documents, and shards, in one Arrow batch.
+BATCH_DOCUMENTS, BATCH_SHARDS = 1024, 4
 #: Places compared at once.
 CHUNK = 1 << 20
 
@@ -212,7 +214,8 @@ def _within(ids: np.ndarray, wanted: set[int], reach: int) -> bool:
 def index(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The stored index: a row per shard with the columns kept of its documents and its postings."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    rows = documents.select(row.alias("row"), F.col("text").alias("text"))
+    within = "text" in keep  # the text is then read from the row and not sent twice
+    rows = documents.select(row.alias("row"), *([] if within else ["text"]))
 
     def run(batches):
         held, tokens, n = [], [], 0
@@ -226,7 +229,8 @@ def index(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                read = [words(t) for t in part.column("text").to_pylist()]
+                texts = part.column("row").field("text") if within else part.column("text")
+                read = [words(t) for t in texts.to_pylist()]
                 held.append(part.column("row"))
                 tokens.extend(read)
                 n += sum(map(len, read))
@@ -237,7 +241,7 @@ def index(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             yield out()
 
     kind = rows.schema["row"].dataType.simpleString()
-    return materialise(rows.mapInArrow(run, f"rows array<{kind}>, terms binary, firsts binary, positions binary, lengths binary"), "postings")
+    return materialise(rows.mapInArrow(run, f"rows array<{kind}>, terms binary, firsts binary, positions binary, lengths binary"), "postings", BATCH_DOCUMENTS)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -313,6 +317,15 @@ def match(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach:
     return search(index(documents, keep), benchmark, size, reach)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents, all columns, that no test window touches. Written, as shards with whole texts need small Arrow batches; the index goes."""
+    stored = index(documents, tuple(documents.columns))
+    found = search(stored, benchmark, size).where(F.size("spans") == 0).select("row.*")
+    kept = materialise(found, "clean", BATCH_SHARDS)
+    discard(stored)
+    return kept
+
+
 def merged(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
