@@ -41,6 +41,9 @@ _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Whole texts in one Arrow batch; the session's setting is meant for narrow rows.
+TEXT_ROWS = 1024
+
 
 def materialise(df: DataFrame, what: str, arrow_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends in replicated files.

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_on_common, materialise, table
+from .common import TEXT_ROWS, discard, join_on_common, materialise, table
 from .components import components
 
 WORDS = 5
@@ -291,7 +291,7 @@ def _pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where((F.col("salt") >= 0) | ~F.col("one"))
         .select("h", "k", "n", F.when(F.col("salt") >= 0, F.lit(LIST_MAX + 1)).otherwise(F.least("f", F.lit(LIST_MAX + 1))).alias("f"))
     )
-    live = materialise(live, "postings")
+    live = materialise(live, "postings", TEXT_ROWS)
     many = materialise(live.where(F.col("f") > LIST_MAX).select("h", "k").distinct(), "many")
     several = many.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
     many = materialise(join_on_common(many, several, "h", "f", many.count()), "several")
@@ -349,14 +349,14 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included),
     cluster (one number for all rows that links join, null where there is no shingle or doc_id) and text_hash (xxhash64 of the text)."""
     documents = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    described = materialise(documents.mapInArrow(_describe, _META), "shingles")
+    described = materialise(documents.mapInArrow(_describe, _META), "shingles", TEXT_ROWS)
     meta = described.where(F.col("range").isNull()).select("doc_id", "n", "k", "text_hash")
     pairs, many = _pairs(_hinted_postings(documents, _shingle_counts(described)))
     again = materialise(many.select("k").distinct(), "again")
     classes = meta.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("first"))
     needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).union(again).distinct()
     ids = needed.join(classes, "k").select(F.col("first").alias("doc_id"))
-    sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k bigint, n bigint, s binary"), "sets")
+    sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k bigint, n bigint, s binary"), "sets", TEXT_ROWS)
     links = materialise(_links(pairs, sets), "links")
     if not again.isEmpty():
         rows = materialise(sets.join(again, "k", "left_semi"), "again-sets")
