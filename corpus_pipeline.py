@@ -26,7 +26,7 @@ def _row(docs: DataFrame):
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. Null and empty texts have the score of a text without n-grams. Repeated rows are judged each on their own."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    judged = quality_classifier.score(docs.select(_row(docs), "text"), model)
+    judged = quality_classifier.score(docs.select(_row(docs)), model, text="row.text")  # so that waiting rows hold each text once
     return judged.where(F.col("score") >= quality_classifier.THRESHOLD).select("row.*")
 
 

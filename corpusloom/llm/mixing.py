@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import TEXT_ROWS, materialise, table
 from .packing import default_vocabulary, token_ids
 
 #: Leaves sent to the rows: those with the most rows; of the others none has more than a SENT_LEAVES-th of them.
@@ -161,7 +161,7 @@ def select(documents: DataFrame, mix: Mix = Mix(), domain: Column | None = None,
     own = domain if domain is not None else F.col("domain").cast("string") if "domain" in documents.columns else site_domain()
     leaf = [F.coalesce(own, F.lit("")).alias("domain"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS[1:]]]
     counted = documents.select(*leaf, F.col("doc_id").alias("id"), (F.col("text") if tokens is None else tokens.cast("long").alias("tokens")))
-    narrow = materialise(with_tokens(counted) if tokens is None else counted, "mix-tokens")
+    narrow = materialise(with_tokens(counted), "mix-tokens", TEXT_ROWS) if tokens is None else materialise(counted, "mix-tokens")
     supply = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     supply = materialise(supply, "supply")
     planned = budgets(supply, mix).where(F.col("tokens") > 0)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import TEXT_ROWS, materialise, table
 
 LENGTH = 2048
 #: Parts that the pieces of one length are numbered in.
@@ -202,7 +202,7 @@ def pieces_of(documents: DataFrame, length: int, path: str, kind: np.dtype) -> D
                         held = 0
         yield out()
 
-    return materialise(documents.select("doc_id", "text").mapInArrow(run, _PIECES), "pieces")
+    return materialise(documents.select("doc_id", "text").mapInArrow(run, _PIECES), "pieces", TEXT_ROWS)
 
 
 def pack(documents: DataFrame, length: int = LENGTH, vocabulary: str | None = None, pad_id: int = PAD_ID) -> DataFrame:
@@ -231,9 +231,20 @@ def pack(documents: DataFrame, length: int = LENGTH, vocabulary: str | None = No
     places = numbered.select("piece", "n", (F.col("before") + F.col("within")).alias("number")).mapInArrow(place, "piece bigint, pack_id bigint, slot bigint")
     rests = pieces.where(F.col("n") < length).select("piece", "doc_id", "start", "ids").join(places, "piece")
     rests = rests.select("pack_id", "slot", "doc_id", "start", "ids").repartition("pack_id").sortWithinPartitions("pack_id", "slot")
-    full = pieces.where(F.col("n") == length).select((-1 - F.col("piece")).alias("pack_id"), F.lit(0).cast("bigint").alias("slot"), "doc_id", "start", "ids")
-    run = _assemble(length, pad_id, kind)
-    return rests.mapInArrow(run, SCHEMA).unionByName(full.mapInArrow(run, SCHEMA))
+    return rests.mapInArrow(_assemble(length, pad_id, kind), SCHEMA).unionByName(_full_rows(pieces.where(F.col("n") == length), length))
+
+
+def _full_rows(pieces: DataFrame, length: int) -> DataFrame:
+    """Pieces of ``length`` ids as packed rows; they need no padding, so their ids stay in the JVM."""
+    return pieces.select(
+        (-1 - F.col("piece")).alias("pack_id"),
+        F.col("n").alias("n_tokens"),
+        F.col("ids").alias("input_ids"),
+        F.array(F.lit(0), F.lit(length)).alias("cu_seqlens"),
+        F.array(F.lit(0)).alias("position_resets"),
+        F.array("doc_id").alias("doc_ids"),
+        F.array("start").alias("doc_starts"),
+    )
 
 
 def _assemble(length: int, pad_id: int, kind: np.dtype):

@@ -158,8 +158,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: i
     return fit([np.frombuffer(r["ids"], np.int32) for r in got], np.array([1.0 if r["quality"] == 1 else -1.0 for r in got]), bits)
 
 
-def score(documents: DataFrame, model: NbSvm, bits: int = BITS) -> DataFrame:
-    """All columns of documents and ``score``, which replaces a column of that name; put columns to be kept into a struct."""
+def score(documents: DataFrame, model: NbSvm, bits: int = BITS, text: str = "text") -> DataFrame:
+    """All columns of documents and ``score``, which replaces a column of that name; put columns to be kept into a struct. text: the column or field scored."""
     sent = documents.sparkSession.sparkContext.broadcast((model.ratio.astype(np.float32), model.weights.astype(np.float32), model.a, model.b))
     documents = documents.drop("score")
 
@@ -167,7 +167,7 @@ def score(documents: DataFrame, model: NbSvm, bits: int = BITS) -> DataFrame:
         own = NbSvm(*sent.value)
         return pd.Series([own.score(own.margin(features(t, bits))) for t in texts], dtype="float64")
 
-    return documents.withColumn("score", F.pandas_udf(run, "double")("text"))
+    return documents.withColumn("score", F.pandas_udf(run, "double")(text))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

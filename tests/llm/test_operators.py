@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, decontaminate, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter, url_labels, warc
-from corpusloom.llm.common import fresh_path
+from corpusloom.llm.common import TEXT_ROWS, fresh_path, materialise
 
 DOCS = "doc_id bigint, text string"
 
@@ -795,6 +795,24 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path, monkeypatch):
     assert P.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_sends_whole_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    bounds = {}
+
+    def noted(df, what, *rows):
+        bounds[what] = rows[0] if rows else None
+        return materialise(df, what, *rows)
+
+    for module in (mixing, packing):
+        monkeypatch.setattr(module, "materialise", noted)
+    docs = frame(spark, [(i, t, "en", "src1") for i, t in corpus(random.Random(13), 60)[0]], "doc_id bigint, text string, lang string, source string")
+    P.mixed(spark, docs, str(tmp_path))
+    packed = P.packed(spark, docs, str(tmp_path))
+    assert [bounds.get(what) for what in ("mix-tokens", "pieces")] == [TEXT_ROWS] * 2
+    assert packed._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # places and rests; full rows stay in the JVM
+
+
 def test_classes_tell_rows_of_one_id_apart(spark):
     got = jaccard_join.jaccard_classes(frame(spark, [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "A b c d e f g")])).collect()
     assert len({r.cluster for r in got}) == 2 and len({r.text_hash for r in got}) == 3 and [r.component_id for r in sorted(got)] == [1, 1, 1]
