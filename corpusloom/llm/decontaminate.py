@@ -38,7 +38,7 @@ REACH = 20
 BLOCK_WORDS = 500_000
 #: Training tokens of one index shard, closed at the next document's end.
 SHARD_TOKENS = 250_000
-#: Documents, and shards, in one Arrow batch.
+#: Documents, and shards, in one Arrow batch; as many shards are one row group.
 BATCH_DOCUMENTS, BATCH_SHARDS = 1024, 4
 #: Places compared at once.
 CHUNK = 1 << 20
@@ -241,7 +241,7 @@ def index(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             yield out()
 
     kind = rows.schema["row"].dataType.simpleString()
-    return materialise(rows.mapInArrow(run, f"rows array<{kind}>, terms binary, firsts binary, positions binary, lengths binary"), "postings", BATCH_DOCUMENTS)
+    return materialise(rows.mapInArrow(run, f"rows array<{kind}>, terms binary, firsts binary, positions binary, lengths binary"), "postings", BATCH_DOCUMENTS, BATCH_SHARDS)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,6 +376,19 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block_words):
     assert len(got) == len(docs) and None in want[75][2]
 
 
+def test_stored_shards_stand_in_small_row_groups(spark, monkeypatch):
+    """What a task holds of the index must not grow with the size of its file."""
+    monkeypatch.setattr(decontaminate, "SHARD_TOKENS", 300)
+    rng = random.Random(15)
+    docs = [(i, prose(rng, 40)) for i in range(1500)]
+    stored = decontaminate.index(frame(spark, docs).coalesce(1), ("doc_id", "text"))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in stored.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 2 * decontaminate.BATCH_SHARDS >= 2 * max(groups)
+    found = decontaminate.search(stored, frame(spark, [(1, docs[700][1])], "item_id bigint, text string")).where(F.size("items") > 0)
+    assert 700 in {r.row.doc_id for r in found.collect()} and stored.select(F.sum(F.size("rows"))).first()[0] == len(docs)
+
+
 def test_proximity_and_empty_benchmark(spark):
     docs = frame(spark, [(1, "alpha x beta y gamma"), (2, "alpha beta"), (3, "gamma " + "z " * 40 + "alpha beta")])
     got = {r.row.doc_id: r.near_items for r in decontaminate.match(docs, frame(spark, [("i7", "gamma beta alpha")], "item_id string, text string"), reach=5).collect()}
