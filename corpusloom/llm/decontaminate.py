@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, lean, materialise, table
 
 WINDOW = 10
 #: Consecutive words within which a proximity match stands.
@@ -241,7 +241,7 @@ def index(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             yield out()
 
     kind = rows.schema["row"].dataType.simpleString()
-    return materialise(rows.mapInArrow(run, f"rows array<{kind}>, terms binary, firsts binary, positions binary, lengths binary"), "postings", BATCH_DOCUMENTS, BATCH_SHARDS)
+    return materialise(rows.mapInArrow(lean(run), f"rows array<{kind}>, terms binary, firsts binary, positions binary, lengths binary"), "postings", BATCH_DOCUMENTS, BATCH_SHARDS)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
@@ -287,7 +287,7 @@ def search(stored: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: i
                 for start in range(0, n, 4096):
                     yield whole.slice(start, 4096)
 
-    return stored.mapInArrow(run, f"row {kind}, n_words bigint, spans array<array<int>>, items array<string>, near_items array<string>")
+    return stored.mapInArrow(lean(run), f"row {kind}, n_words bigint, spans array<array<int>>, items array<string>, near_items array<string>")
 
 
 def _sorted(names: set[str | None]) -> list[str | None]:

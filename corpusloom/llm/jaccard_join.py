@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, discard, join_on_common, materialise, table
+from .common import TEXT_ROWS, discard, join_on_common, lean, materialise, table
 from .components import components
 
 WORDS = 5
@@ -243,8 +243,8 @@ def _shingle_counts(described: DataFrame) -> np.ndarray:
     """The tasks' tables of hashed counts added up in two steps of equal width, so no task reads more than the square root of their number."""
     tables = described.where(F.col("range").isNotNull()).select("range", "counts", F.col("doc_id").alias("task"))
     groups = max(1, round((tables.count() / _RANGES) ** 0.5))
-    pieces = tables.repartition(_RANGES * groups, "range", F.col("task") % groups).select("range", "counts").mapInArrow(_add_counts, "range int, counts binary")
-    pieces = pieces.repartition(_RANGES, "range").mapInArrow(_add_counts, "range int, counts binary")
+    pieces = tables.repartition(_RANGES * groups, "range", F.col("task") % groups).select("range", "counts").mapInArrow(lean(_add_counts), "range int, counts binary")
+    pieces = pieces.repartition(_RANGES, "range").mapInArrow(lean(_add_counts), "range int, counts binary")
     counts = np.zeros((_RANGES, (1 << TABLE_BITS) // _RANGES), np.uint32)
     for r in pieces.collect():  # a table of fixed size
         counts[r["range"]] = np.frombuffer(r["counts"], "<u4")
@@ -279,7 +279,7 @@ def _hinted_postings(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         if size:
             yield _posting_batch(held)
 
-    return documents.select("doc_id", "text").mapInArrow(post, "h bigint, k bigint, n int, salt int")
+    return documents.select("doc_id", "text").mapInArrow(lean(post), "h bigint, k bigint, n int, salt int")
 
 
 def _pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +307,7 @@ def _pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     by = lambda name, s: sets.select(F.col("k").alias(name), F.col("s").alias(s))
-    return pairs.join(by("u", "a"), "u").join(by("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked, "u bigint, v bigint").distinct()
+    return pairs.join(by("u", "a"), "u").join(by("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(lean(_linked), "u bigint, v bigint").distinct()
 
 
 def _columns(batches):
@@ -319,7 +319,7 @@ def _columns(batches):
 def _exact_postings(sets: DataFrame) -> DataFrame:
     """(h, k, n, salt) of the prefixes of all sets in the order of exact counts among them, rarest first."""
     sizes = sets.agg(F.sum("n"), F.count(F.lit(1))).first()
-    columns = sets.select("k", "s").mapInArrow(_columns, "h bigint, k bigint")
+    columns = sets.select("k", "s").mapInArrow(lean(_columns), "h bigint, k bigint")
     counts = materialise(columns.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > LIST_MAX), "counts")
     common = join_on_common(columns, counts.withColumn("c", F.col("f")), "h", "f", int(sizes[0]))
     common = common.groupBy("k").agg(F.collect_list("h").alias("h"), F.collect_list("c").alias("c"))
@@ -342,21 +342,21 @@ def _exact_postings(sets: DataFrame) -> DataFrame:
         if size:
             yield _posting_batch(held)
 
-    return sets.select("k", "s").join(common, "k", "left").mapInArrow(post, "h bigint, k bigint, n int, salt int")
+    return sets.select("k", "s").join(common, "k", "left").mapInArrow(lean(post), "h bigint, k bigint, n int, salt int")
 
 
 def jaccard_classes(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included),
     cluster (one number for all rows that links join, null where there is no shingle or doc_id) and text_hash (xxhash64 of the text)."""
     documents = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    described = materialise(documents.mapInArrow(_describe, _META), "shingles", TEXT_ROWS)
+    described = materialise(documents.mapInArrow(lean(_describe), _META), "shingles", TEXT_ROWS)
     meta = described.where(F.col("range").isNull()).select("doc_id", "n", "k", "text_hash")
     pairs, many = _pairs(_hinted_postings(documents, _shingle_counts(described)))
     again = materialise(many.select("k").distinct(), "again")
     classes = meta.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("first"))
     needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).union(again).distinct()
     ids = needed.join(classes, "k").select(F.col("first").alias("doc_id"))
-    sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "k bigint, n bigint, s binary"), "sets", TEXT_ROWS)
+    sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "k bigint, n bigint, s binary"), "sets", TEXT_ROWS)
     links = materialise(_links(pairs, sets), "links")
     if not again.isEmpty():
         rows = materialise(sets.join(again, "k", "left_semi"), "again-sets")

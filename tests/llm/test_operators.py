@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, decontaminate, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter, url_labels, warc
-from corpusloom.llm.common import TEXT_ROWS, fresh_path, materialise
+from corpusloom.llm.common import TEXT_ROWS, fresh_path, lean, materialise
 
 DOCS = "doc_id bigint, text string"
 
@@ -439,6 +440,25 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(docs)
 
 
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_workers_give_back_what_a_task_freed():
+    pinned = []
+
+    def run(batches):
+        held = [np.full(2000, 1, np.uint8) for _ in range(50_000)]  # 100 MB that the C library keeps, as its last piece stays in use
+        pinned.append(held.pop())
+        del held
+        yield from batches
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    before = resident()
+    assert list(lean(run)(iter("ab"))) == ["a", "b"]
+    assert resident() - before < 40e6
+
+
 def test_jaccard_null_ids_and_empty(spark):
     got = jaccard_join.jaccard_classes(frame(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")])).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got if r.doc_id) == [(False, 2), (False, 2)] and sum(r.component_id is None for r in got) == 1
