@@ -320,7 +320,7 @@ def _exact_postings(sets: DataFrame) -> DataFrame:
     """(h, k, n, salt) of the prefixes of all sets in the order of exact counts among them, rarest first."""
     sizes = sets.agg(F.sum("n"), F.count(F.lit(1))).first()
     columns = sets.select("k", "s").mapInArrow(lean(_columns), "h bigint, k bigint")
-    counts = materialise(columns.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > LIST_MAX), "counts")
+    counts = materialise(columns.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > LIST_MAX), "counts", TEXT_ROWS)
     common = join_on_common(columns, counts.withColumn("c", F.col("f")), "h", "f", int(sizes[0]))
     common = common.groupBy("k").agg(F.collect_list("h").alias("h"), F.collect_list("c").alias("c"))
     # What a whole prefix list may hold at most decides on salting: no column is in more lists than it has rows.
@@ -357,11 +357,11 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).union(again).distinct()
     ids = needed.join(classes, "k").select(F.col("first").alias("doc_id"))
     sets = materialise(documents.join(ids, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets), "k bigint, n bigint, s binary"), "sets", TEXT_ROWS)
-    links = materialise(_links(pairs, sets), "links")
+    links = materialise(_links(pairs, sets), "links", TEXT_ROWS)
     if not again.isEmpty():
         rows = materialise(sets.join(again, "k", "left_semi"), "again-sets")
         pairs, many = _pairs(_exact_postings(rows))
-        links = materialise(links.union(_links(pairs, rows)), "links")
+        links = materialise(links.union(_links(pairs, rows)), "links", TEXT_ROWS)
         if not many.isEmpty():
             links = _block_links(many, rows, links)
     found = components(links)

@@ -459,6 +459,20 @@ def test_workers_give_back_what_a_task_freed():
     assert resident() - before < 40e6
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_jaccard_sets_cross_in_small_batches(spark, monkeypatch, many):
+    """Whole shingle sets are as large as texts; every write that sends them says so."""
+    said = {}
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, what, arrow_rows=None: said.setdefault(what, []).append(arrow_rows) or materialise(df, what, arrow_rows))
+    if many:
+        monkeypatch.setattr(jaccard_join, "LIST_MAX", 2)
+    rng = random.Random(3)
+    base = prose(rng, 60).split()
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(8)]
+    assert {r["component_id"] for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect()} == {0}
+    assert {x for what in ("shingles", "sets", "links", *(["counts"] if many else [])) for x in said[what][: 1 + many]} == {TEXT_ROWS}
+
+
 def test_jaccard_null_ids_and_empty(spark):
     got = jaccard_join.jaccard_classes(frame(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")])).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got if r.doc_id) == [(False, 2), (False, 2)] and sum(r.component_id is None for r in got) == 1
