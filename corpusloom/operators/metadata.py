@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -45,9 +46,13 @@ def name_year(doc_id: Column) -> Column:
 
 
 def year_vote(blocks: DataFrame, first_pages: int = 3) -> DataFrame:
-    """doc_id, year: the last year of the document's name; without one the most frequent year of the first pages, of equal counts the one seen first."""
+    """doc_id, year: the last year of the document's name; without one the most frequent year of the first pages, of equal counts the one seen first.
+
+    A doc_id that is no text is a key and no name: key 1995 names no year.
+    """
     kind = F.col("type").isin(*YEAR_TYPES) if "type" in blocks.columns else F.lit(True)
-    rows = blocks.withColumn("_named", name_year(F.col("doc_id").cast("string")))
+    of_name = name_year(F.col("doc_id")) if isinstance(blocks.schema["doc_id"].dataType, T.StringType) else F.lit(None).cast("int")
+    rows = blocks.withColumn("_named", of_name)
     named = rows.where(F.col("_named").isNotNull()).groupBy("doc_id").agg(F.first("_named").alias("year"))
     seen = rows.where(F.col("_named").isNull() & (F.col("page") <= first_pages) & kind).select("doc_id", "order", F.posexplode(years(F.col("text"))).alias("at", "year"))
     counts = seen.where(F.col("year").between(1900, LAST_YEAR)).groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "at")).alias("first"))
