@@ -48,3 +48,15 @@ def test_owners_of_repeated_boxes_and_places(spark):
     owned = layout.owners(chars, boxes)
     assert joined_rows(owned) <= 400  # not a row for every character and box
     assert {tuple(r) for r in owned.collect()} == {(i, 0) for i in range(0, 400, 2)}
+
+
+def test_equal_texts_are_measured_once(monkeypatch):
+    import pyarrow as pa
+
+    from corpusloom.functions import units
+
+    read, whole = [], units.measurements
+    monkeypatch.setattr(units, "measurements", lambda t: read.append(t) or whole(t))
+    texts = ["5 kg, 7 mm of x3", None, "none", "5 kg, 7 mm of x3"] * 50
+    got = units.extract_units.func(pa.array(texts)).to_pylist()
+    assert got == [whole(t) for t in texts] and len(read) == 3 and [m["si_value"] for m in got[0]] == [5.0, 0.007]
