@@ -84,3 +84,30 @@ def test_similar_statements_of_a_group_are_ranked_without_a_row_for_every_pair(s
     e = spark.createDataFrame([(1, 5, [0.0, 0.0]), (1, 3, [1.0, 1.0]), (1, 4, [2.0, 2.0])], "group int, statement_id bigint, vector array<double>")
     q = spark.createDataFrame([(1, 9, [3.0, 3.0])], "group int, query_id bigint, vector array<double>")
     assert [(r.statement_id, r.place, round(r.similarity, 9)) for r in graph.facts_by_similarity_within(e, q).collect()] == [(3, 1, 1.0), (4, 2, 1.0), (5, 3, 0.0)]
+
+
+def test_signals_of_all_texts_at_once_are_those_of_each(spark):
+    from corpusloom.functions import text as X
+
+    texts = ["", "aa bb", "ПРИВЕТ Миру ёЁ", "Σίσυφος ΣΑΣ ΣΑΣΣ abc", "İstanbul İİ xx yy zz", "x\ty z   q\x0bw", "strength rhythm взгляд съезд", "!!!!!!! 1111 ....", "a b c d e", "𝒜𝒜𝒜 𝐱y\U0001f600\U0001f600", "KKKkk aaaaaaaa", None, "\n", "12,5 — ﬁﬁ ǅǅ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    got = df.select("i", X.signal_values("t").alias("s")).select("i", "s.*").orderBy("i").collect()
+    assert got == df.select("i", *X.signals("t")).orderBy("i").collect()
+    plans = [clean_plan(spark, f) for f in ("garbage_score", "audit_score_bands")]
+    assert all("regexp_count" not in p and "regexp_extract_all" not in p and "signal_values" in p for p in plans)
+
+
+def clean_plan(spark, name):
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_pass_their_folds_one_behind_the_other(spark):
+    from corpusloom.operators import clean
+    from corpusloom.operators.storage import by_document
+
+    df = spark.range(3000).select(F.concat(F.lit("d"), F.col("id") % 700).alias("doc_id"), F.col("id").cast("int").alias("order")).union(spark.sql("SELECT CAST(NULL AS STRING), 7"))
+    got = by_document(df, lambda rows: [{"doc_id": rows[0]["doc_id"], "n": len(rows), "sorted": rows == sorted(rows, key=lambda r: r["order"])}], "doc_id string, n int, sorted boolean").collect()
+    assert len(got) == 701 and sum(r.n for r in got) == 3001 and all(r.sorted for r in got)
+    lines = catalog.lines(spark, "/root/testdata/sf0.001")
+    plan = clean.merge_fragments(clean.prepare(lines, unicode=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
