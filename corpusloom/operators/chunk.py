@@ -16,7 +16,8 @@ from ..functions.latex import flatten_formula
 from ..functions.tables import parse as parse_table
 from ..functions.tables import parse_table_html, row_sentence
 from ..functions.units import extract_units
-from ..schemas import CHUNKS, names
+from ..schemas import CHUNKS
+from .storage import by_document
 
 #: Words that open a legend, and words that lead to a table when a number or Roman numeral follows (fixed values).
 LEGEND_WORDS = ("where", "here", "with", "где", "здесь", "причём", "причем")
@@ -46,11 +47,13 @@ def sentences(text: str, budget: int) -> list[str]:
             out.append(s)
             continue
         piece: list[str] = []
+        size = 0  # of the piece, with the blank before the next word
         for w in s.split():
-            if piece and count(" ".join([*piece, w])) > budget * 4 // 5:
+            if piece and max(1, (size + len(w)) // 3) > budget * 4 // 5:
                 out.append(" ".join(piece))
-                piece = []
+                piece, size = [], 0
             piece.append(w)
+            size += len(w) + 1
         out.append(" ".join(piece))
     return out
 
@@ -189,18 +192,10 @@ def chunk_document(rows: list[dict], cfg: ChunkConfig = CHUNK) -> list[dict]:
 
 
 def chunks(blocks: DataFrame, cfg: ChunkConfig = CHUNK) -> DataFrame:
-    fields = names(CHUNKS)
-    wanted = ["block_id", "doc_id", "order", "page", "type", "text", "table_html"]
+    wanted = ["block_id", "doc_id", "order", "page", "type", "table_html"]
     level = F.col("text_level") if "text_level" in blocks.columns else F.lit(None).cast("int")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("order").to_dict("records")
-        for r in rows:
-            r["text"] = r["text"] or ""
-            r["text_level"] = None if pd.isna(r["text_level"]) else r["text_level"]
-        return pd.DataFrame(chunk_document(rows, cfg), columns=fields)
-
-    return blocks.select(*wanted, level.alias("text_level")).groupBy("doc_id").applyInPandas(fold, CHUNKS)
+    rows = blocks.select(*wanted, F.coalesce("text", F.lit("")).alias("text"), level.alias("text_level"))
+    return by_document(rows, lambda rows: chunk_document(rows, cfg), CHUNKS)
 
 
 def parents(chunked: DataFrame) -> DataFrame:
