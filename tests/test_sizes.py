@@ -111,3 +111,37 @@ def test_documents_pass_their_folds_one_behind_the_other(spark):
     lines = catalog.lines(spark, "/root/testdata/sf0.001")
     plan = clean.merge_fragments(clean.prepare(lines, unicode=False))._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan
+
+
+def test_lexical_scores_without_postings(spark, tmp_path):
+    from corpusloom.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(40) ** 2 % 37}" for _ in range(int(rng.integers(1, 30)))) for _ in range(300)] + ["w1 w2 w4"] * 60 + ["", None]
+    spark.createDataFrame([(i, t, f"s{i % 9}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"w{i} w{i + 1} W4 w{i}") for i in range(12)] + [(99, "nowhere")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("bm25_topk", "sparse_tfidf_topk", "rrf_fusion", "parent_child_dedup", "relevance_gate"):
+        got, want = against_sql(spark, tmp_path, name, 5)
+        assert got == want and got, name
+    plan = catalog.QUERIES["bm25_topk"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # postings are not sent about to meet the queries' terms
+    units = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "unit_id bigint, text string, parent_id bigint")
+    queries = spark.createDataFrame([("a", "w1 w2"), ("b", "w30")], "query_id string, query string")
+    q = retrieval.query_terms(queries.select("query_id", F.col("query").alias("text")), F.split("text", " "))
+    blocks = [{tuple(r) for r in retrieval.lexical_top_k(units, F.split("text", " "), q, 5, block=n).collect()} for n in (1, 256)]
+    assert blocks[0] == blocks[1] and {r[0] for r in blocks[0]} == {"a", "b"}
+    evidence = retrieval.retrieve(units, queries).where("query_id = 'a' AND number = 1").first()
+    assert evidence.score == 1.0 and evidence.context == texts[evidence.unit_id]
+
+
+def test_trigrams_by_arrays_are_those_of_the_pattern(spark):
+    from corpusloom.operators import language_model as lm
+
+    texts = ["", "a", "Ab 12\t\n x", "İx İİ KKK", "Ёж, Ёлка\x0b\x0c\r..ÀÀ", "𝒜b c  d", "  ^^ ab", "ΣΑΣ Σ", "a#1 ##", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [r.g for r in df.orderBy("i").select(lm.trigrams(F.col("t")).alias("g")).collect()]
+    at, code = lm.coded_trigrams([t or "" for t in texts])
+    got = [[lm.SIGNS[x >> 12] + lm.SIGNS[x >> 6 & 63] + lm.SIGNS[x & 63] for x in code[at == i].tolist()] for i in range(len(texts))]
+    assert got == want
+    plan = catalog.QUERIES["charlm_model"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
